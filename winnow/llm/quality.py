@@ -134,26 +134,42 @@ def _sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> list
     return [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.label) for r in rows]
 
 
-def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """Every document with `score`, the probability of label 1. One pass, no shuffle."""
+def _scores(texts: list[bytes | None], weights: np.ndarray, bias: float) -> np.ndarray:
     bits = len(weights).bit_length() - 1
-    schema = "doc_id long, score double"
+    logits = []
+    for data in texts:
+        total, n = 0.0, 0
+        for part in _segments(data or b""):
+            found = buckets_of(part, bits)
+            total += float(weights[found].sum(dtype=np.float64))
+            n += len(found)
+        logits.append(total / max(1, n) + bias)
+    return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500)))
+
+
+def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """doc_id and `score`, the probability of label 1, of every document. One pass, no shuffle."""
     weights = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logits = []
-            for data in b.column("text").cast(pa.binary()).to_pylist():
-                total, n = 0.0, 0
-                for part in _segments(data or b""):
-                    found = buckets_of(part, bits)
-                    total += float(weights[found].sum(dtype=np.float64))
-                    n += len(found)
-                logits.append(total / max(1, n) + bias)
-            p = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500)))
+            p = _scores(b.column("text").cast(pa.binary()).to_pylist(), weights, bias)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), least: float = 0.5) -> DataFrame:
+    """The rows of documents whose score is `least` or more, all columns as they are; see `quality` for odd rows."""
+    weights, bias = fit(_sample(documents, labels, settings), settings)
+    weights = weights.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _scores(b.column("text").cast(pa.binary()).to_pylist(), weights, bias)
+            yield b.filter(pa.array(p >= least))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
