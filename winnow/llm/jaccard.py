@@ -1,8 +1,8 @@
 """Join of documents whose sets of word n-grams overlap by a Jaccard share: exact, by prefix trees within blocks.
 
 1. A pass over the texts gives each document its set's size and key (a hash of the set). Equal sets are one class.
-2. Blocks. Two linked sets differ in at most K = (1 - t) / (1 + t) * (sizes) members, so that of K + 2 ranges of hash
-   values at least two are equal in both. A second pass sends, for each class, one hash for each range (for its own class
+2. Blocks. Two linked sets differ in at most K = (1 - t) / (1 + t) * (sizes) members, so that of K + 1 + s ranges of hash
+   values at least 1 + s are equal in both, of which s may be empty. A second pass sends, for each class, one hash for each range (for its own class
    of sizes and for the next), packed into arrays; equal ones make classes neighbours, and what is reachable is a block.
    Passages that many documents share make no neighbours, for a range holds a sample of the whole document.
 3. Within a block, sets in the block's order of n-grams (most frequent first) form a prefix tree. All sets walk it at
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -77,31 +78,45 @@ class Ranges:
             self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
-    def _edges(self, level: int) -> np.ndarray:
-        self.level(self.bounds[-1])
+    def _edges(self, level: int) -> tuple[np.ndarray, int]:
+        """(inner bounds of the ranges, how many of them may be empty in a set that needs no more than the others)."""
         while len(self.bounds) <= level + 1:
             self.level(self.bounds[-1])
+        size = self.bounds[max(0, level - 1)]
         most = 2 * (self.bounds[level + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-        parts = most + 2
-        return (np.arange(1, parts, dtype=object) * (2**64) // parts).astype(np.uint64)
+        spare = 1
+        for _ in range(20):
+            parts = most + 1 + spare
+            empty = parts * np.exp(-size / parts)
+            spare = max(spare, min(most + 3, int(np.ceil(empty + 3 * np.sqrt(empty)))))
+        parts = most + 1 + spare
+        return (np.arange(1, parts, dtype=object) * (2**64) // parts).astype(np.uint64), spare
 
     def hashes(self, members: np.ndarray) -> np.ndarray:
-        """One hash for each range that isn't empty and, where two or more are, one for each two of those."""
+        """One hash for each range that isn't empty.
+
+        Linked sets agree in `spare` + 1 ranges at least. A set with more empty ranges than `spare` could agree with
+        another in empty ones alone: then at least four (or all `spare` + 1) of those that come first, all but spare + 1
+        and three more, are empty in both. It has a hash for each choice of four of them, too.
+        """
         if len(members) < self.bounds[0]:
             return np.empty(0, np.uint64)
         sums = np.zeros(len(members) + 1, np.uint64)
         np.cumsum(mix(members ^ _M1), out=sums[1:])
         out, own = [], self.level(len(members))
         for level in (own, own + 1):
-            at = np.concatenate([[0], np.searchsorted(members, self.edges(level)), [len(members)]])
+            edges, spare = self.edges(level)
+            at = np.concatenate([[0], np.searchsorted(members, edges), [len(members)]])
             counts = np.diff(at).astype(np.uint64)
             salt = np.full(len(counts), level + 1, np.uint64) * _M2 + np.arange(len(counts), dtype=np.uint64) * _M3
             found = mix((sums[at[1:]] - sums[at[:-1]]) * _M1 + salt + counts)
             empty = np.flatnonzero(counts == 0)
             out.append(found[counts > 0])
-            if len(empty) > 1:
-                i, j = np.triu_indices(len(empty), 1)
-                out.append(mix(salt[empty[i]] * _M1 + salt[empty[j]]))
+            if len(empty) > spare:
+                many = min(4, spare + 1)
+                first = empty[: len(empty) - spare - 1 + many]
+                chosen = np.array(list(combinations(mix(salt[first]).tolist(), many)), np.uint64)
+                out.append(mix(chosen.sum(axis=1, dtype=np.uint64) * _M1))
         return np.concatenate(out)
 
 
