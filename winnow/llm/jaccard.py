@@ -31,6 +31,7 @@ from winnow.llm.components import connected
 #: Classes that one walk takes at most, those of them that all chunks of a block share, hashes and members in a task.
 CHUNK, SHARED, HASHES, MEMBERS = 512, 8, 500_000, 1_000_000
 _WORDS_KEPT = 500_000
+_MARKS = 1 << 24  # bits of the map that is broadcast: 2 ** 18 rows at most, whatever the input
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -250,8 +251,13 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, piece: np.ndarray | N
 
 def _walk(documents: DataFrame, tasks: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """tasks (doc_id, key, block, chunk, piece, bucket): the links (a, b) found in each (block, chunk)."""
-    texts = documents.select(F.col("doc_id").alias("_id"), "text")
-    rows = tasks.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("bucket", "block", "chunk", "key", "piece", "text")
+    # most documents have no neighbour: a bit map of hashes, of a fixed size, keeps their texts from moving
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marks = tasks.select(F.floor(place / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = documents.join(F.broadcast(marks), F.floor(place / 64) == F.col("_word")).where(F.getbit("_bits", (place % 64).cast("int")) == 1)
+    texts = marked.select(F.col("doc_id").alias("_id"), "text")
+    rows = tasks.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("bucket", "block", "chunk", "key", "piece", "text")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         known = WordHashes()
@@ -298,7 +304,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     classes = materialise(sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
     blocked = materialise(near.join(classes, F.col("node") == F.col("key")).select("doc_id", "n", "key", F.col("root").alias("block")), "blocks")
     shared = [F.min(F.struct(F.xxhash64("key", F.lit(i)), F.col("key")))["key"].alias(f"s{i}") for i in range(SHARED)]
-    found = blocked.groupBy("block").agg(F.count("*").alias("classes"), F.array(*shared).alias("shared"))
+    # written, so that both sides of the join below are dealt anew and a large block can be split
+    found = materialise(blocked.groupBy("block").agg(F.count("*").alias("classes"), F.array(*shared).alias("shared")), "sizes")
     rows = blocked.join(found.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"))
     chunks = F.ceil(F.col("classes") / chunk).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
