@@ -99,4 +99,7 @@ def entity_array(text: Column) -> Column:
 
 def explode_entities(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, etype, value: one row for each distinct entity of each row's text; all types in one projection."""
-    return df.select(*keys, F.explode(entity_array(F.col(text))).alias("_e")).select(*keys, "_e.etype", "_e.value")
+    # matching is what costs: spread it over all partitions, where a small shuffle before has been merged into few
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(*keys, text).repartition(n, *keys)
+    return spread.select(*keys, F.explode(entity_array(F.col(text))).alias("_e")).select(*keys, "_e.etype", "_e.value")
