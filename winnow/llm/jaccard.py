@@ -1,10 +1,16 @@
 """Join of documents whose sets of word n-grams overlap by a Jaccard share: exact, by prefix trees within blocks.
 
-1. A pass over the texts gives each document its set's size and key (a hash of the set). Equal sets are one class.
-2. Blocks. Two linked sets differ in at most K = (1 - t) / (1 + t) * (sizes) members, so that of K + 1 + s ranges of hash
-   values at least 1 + s are equal in both, of which s may be empty. A second pass sends, for each class, one hash for each range (for its own class
-   of sizes and for the next), packed into arrays; equal ones make classes neighbours, and what is reachable is a block.
-   Passages that many documents share make no neighbours, for a range holds a sample of the whole document.
+1. A pass over the texts gives each document its set's size and key (a hash of the set), and counts n-grams in a table of
+   SLOTS counters, a size that does not depend on the input. Equal sets are one class.
+2. Blocks. A second pass sends two kinds of hashes for each class, packed into arrays; equal ones make classes neighbours
+   of that kind, and what is reachable by neighbours of both kinds, each alone, is a block. Linked sets are neighbours of
+   both kinds:
+   - Ranges. They differ in at most K = (1 - t) / (1 + t) * (sizes) members, so that of K + 1 + s ranges of hash values at
+     least 1 + s are equal in both, of which s may be empty. A class has one hash for each range, for its own class of sizes
+     and for the next. This tells sets apart whose members are all frequent.
+   - First members. The counts order all n-grams, rare ones first; where they share a counter, by their hashes. Either set
+     holds one of the other's first |A| - ceil(t |A|) + 1 n-grams among its own. Passages that many documents share stand
+     last, so that only documents of little else become neighbours by them.
 3. Within a block, sets in the block's order of n-grams (most frequent first) form a prefix tree. All sets walk it at
    once: what they share with a path is counted once for all paths that begin with it, and a set leaves a subtree as soon
    as what remains below can't reach the overlap it needs.
@@ -14,6 +20,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -22,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +39,9 @@ from winnow.llm.components import connected
 #: Classes that one walk takes at most, those of them that all chunks of a block share, hashes and members in a task.
 CHUNK, SHARED, HASHES, MEMBERS = 512, 8, 500_000, 1_000_000
 _WORDS_KEPT = 500_000
+SLOTS, PARTS, FAN_IN = 1 << 22, 64, 256  # counters of n-grams, the parts they are summed in, and arrays summed at once
+OTHER = 0x51D7348A92C0EB6F  # makes of a key the node that stands for it among neighbours by first members
+_SLOT = np.uint64(64 - 22)  # the first bits of a hash name its counter
 _MARKS = 1 << 24  # bits of the map that is broadcast: 2 ** 18 rows at most, whatever the input
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -121,14 +132,53 @@ class Ranges:
         return np.concatenate(out)
 
 
-def _sizes(documents: DataFrame, n: int) -> DataFrame:
+def first_members(members: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of a set, the rarest n-grams of which it shares one with every set that it links with; fewer link only if equal."""
+    size = len(members)
+    if size * (den - num) < num:
+        return np.empty(0, np.uint64)
+    order = np.argsort(counts[members >> _SLOT], kind="stable")  # members are sorted: ties go by hash
+    return mix(members[order[: size + num * size // -den + 1]] ^ _M1)
+
+
+def _counted(documents: DataFrame, n: int) -> DataFrame:
+    """A row for each document; and those of each task's counters, by part, that have a part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, counts, task = WordHashes(), np.zeros(SLOTS, np.uint32), TaskContext.get().partitionId()
+        names, none = ["doc_id", "n", "key", "part", "task", "counts"], [pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
             sets = [ngram_set(t, n, known) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "key"])
-
-    return documents.mapInArrow(run, "doc_id long, n long, key long")
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> _SLOT).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *[pa.nulls(len(sets), t) for t in none]], names=names)
+        if counts.any():
+            packed = [zlib.compress(c.astype(np.uint64).tobytes(), 1) for c in np.split(counts, PARTS)]
+            own = [pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, *own], names=names)
+
+    return documents.mapInArrow(run, "doc_id long, n long, key long, part int, task int, counts binary")
+
+
+def _summed(counted: DataFrame) -> np.ndarray:
+    """All counts, as eighths of powers of two: SLOTS bytes. No task gathers more than FAN_IN arrays at once."""
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS // PARTS, np.uint64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.uint64)
+        return pa.table([pa.array([x.as_py()], pa.int32()) for x in key] + [pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "task", "counts"])
+
+    rows = counted.where("part is not null").select("part", "task", "counts")
+    tasks = rows.agg(F.count_distinct("task")).first()[0]
+    while tasks > 1:
+        tasks = blocks_for(tasks, FAN_IN)
+        rows = materialise(rows.groupBy("part", F.pmod(F.xxhash64("task"), F.lit(tasks)).cast("int").alias("_group")).applyInArrow(add, "part int, task int, counts binary"), "counts")
+    total = np.zeros((PARTS, SLOTS // PARTS), np.uint64)
+    for r in rows.collect():
+        total[r.part] += np.frombuffer(zlib.decompress(r.counts), np.uint64)
+    return (8 * np.log2(1 + total.ravel())).astype(np.uint8)
 
 
 def _stars(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,12 +190,12 @@ def _stars(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, pairs[:, 0], pairs[:, 1]
 
 
-def _neighbours(documents: DataFrame, n: int, ranges: Ranges, buckets: int) -> DataFrame:
-    """Edges (a, b) between the keys of classes that have a range in common."""
-    num, den = ranges.num, ranges.den
+def _neighbours(documents: DataFrame, n: int, num: int, den: int, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Edges (a, b) between the keys of classes that have a range in common, and, by keys ^ OTHER, a first member."""
+    everywhere = documents.sparkSession.sparkContext.broadcast(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = WordHashes(), Ranges(num, den)
+        known, ranges, order_by = WordHashes(), Ranges(num, den), everywhere.value
         cuts = (np.arange(1, buckets, dtype=object) * (2**64) // buckets).astype(np.uint64)
         for whole in batches:
             for start in range(0, len(whole), 2000):
@@ -154,7 +204,8 @@ def _neighbours(documents: DataFrame, n: int, ranges: Ranges, buckets: int) -> D
                     members = ngram_set(text, n, known)
                     key = int(set_key(members))
                     if key not in made:
-                        made[key] = own.hashes(members)
+                        made[key] = ranges.hashes(members)
+                        made[key ^ OTHER] = first_members(members, order_by, num, den)
                 hashes = np.concatenate(list(made.values())) if made else np.empty(0, np.uint64)
                 keys = np.repeat(np.array(list(made), np.int64), [len(x) for x in made.values()])
                 order = np.lexsort((keys, hashes))
@@ -297,15 +348,19 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     Sets are compared by 64-bit hashes of their n-grams, and told apart by 64-bit keys.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialise(_sizes(documents, n), "sets")
-    total = sizes.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    share = 2.3 * (den - num) / (den + num) * (1 + den / num) / 2  # hashes sent for each member, about
-    near = connected(_neighbours(documents, n, Ranges(num, den), blocks_for(total * share, HASHES)))
+    counted = materialise(_counted(documents, n), "sets")
+    sizes = counted.where("part is null").select("doc_id", "n", "key")
+    share = (1.15 * (den / num + 1) / (den + num) + 1 / den) * (den - num)  # hashes sent for each member, about
+    sent = sizes.where("n > 0").agg(F.coalesce(F.sum(F.col("n") * share + 1), F.lit(0))).first()[0]
+    near = connected(_neighbours(documents, n, num, den, _summed(counted), blocks_for(sent, HASHES)))
     classes = materialise(sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    blocked = materialise(near.join(classes, F.col("node") == F.col("key")).select("doc_id", "n", "key", F.col("root").alias("block")), "blocks")
+    near = materialise(near, "near")
+    other = near.select((F.col("node").bitwiseXOR(F.lit(OTHER))).alias("_node"), F.col("root").alias("_root"))
+    both = near.join(other, F.col("node") == F.col("_node")).select("node", F.xxhash64("root", "_root").alias("block"))
+    blocked = materialise(both.join(classes, F.col("node") == F.col("key")).select("doc_id", "n", "key", "block"), "blocks")
     shared = [F.min(F.struct(F.xxhash64("key", F.lit(i)), F.col("key")))["key"].alias(f"s{i}") for i in range(SHARED)]
     # written, so that both sides of the join below are dealt anew and a large block can be split
-    found = materialise(blocked.groupBy("block").agg(F.count("*").alias("classes"), F.array(*shared).alias("shared")), "sizes")
+    found = materialise(blocked.groupBy("block").agg(F.count("*").alias("classes"), F.array(*shared).alias("shared")).where("classes > 1"), "sizes")
     rows = blocked.join(found.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"))
     chunks = F.ceil(F.col("classes") / chunk).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
