@@ -23,7 +23,8 @@ def connected(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"))
+        # minima are written, so that both sides of the joins are dealt anew and a hub's edges can be split
+        least = materialise(both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")), "least")
         large = (
             both.join(least, F.col("a") == F.col("_u"))
             .where("b > a")
@@ -31,7 +32,7 @@ def connected(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         large = materialise(large, "edges")
-        least = large.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"))
+        least = materialise(large.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")), "least")
         small = large.join(least, F.col("a") == F.col("_u")).where("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         now = materialise(small.unionByName(least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))).distinct(), "edges")
         after = _state(now)
