@@ -38,7 +38,8 @@ from winnow.llm.components import connected
 
 #: Classes that one walk takes at most, those of them that all chunks of a block share, hashes and members in a task.
 CHUNK, SHARED, HASHES, MEMBERS = 512, 8, 500_000, 1_000_000
-_WORDS_KEPT = 500_000
+POSTINGS = 1_000_000  # that a walk looks up at once
+_WORDS_KEPT = 200_000
 SLOTS, PARTS, FAN_IN = 1 << 22, 64, 256  # counters of n-grams, the parts they are summed in, and arrays summed at once
 OTHER = 0x51D7348A92C0EB6F  # makes of a key the node that stands for it among neighbours by first members
 _SLOT = np.uint64(64 - 22)  # the first bits of a hash name its counter
@@ -147,7 +148,7 @@ def _counted(documents: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, task = WordHashes(), np.zeros(SLOTS, np.uint32), TaskContext.get().partitionId()
         names, none = ["doc_id", "n", "key", "part", "task", "counts"], [pa.int32(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in (whole.slice(start, 2000) for whole in batches for start in range(0, len(whole), 2000)):
             sets = [ngram_set(t, n, known) for t in b.column("text").cast(pa.binary()).to_pylist()]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> _SLOT).astype(np.int64), minlength=SLOTS).astype(np.uint32)
@@ -269,12 +270,17 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, piece: np.ndarray | N
     common[0] = common[n] = -1
     links: list[tuple[int, int]] = []
 
+    at_once = max(1, POSTINGS // n)
+
     def gained(tokens: np.ndarray) -> np.ndarray:
         if not len(tokens):
             return 0
-        many = starts[tokens + 1] - starts[tokens]
-        at = np.repeat(starts[tokens] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        return np.bincount(posted[at], minlength=n)
+        total = np.zeros(n, np.int64)
+        for some in np.split(tokens, range(at_once, len(tokens), at_once)):
+            many = starts[some + 1] - starts[some]
+            at = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            total += np.bincount(posted[at], minlength=n)
+        return total
 
     stack = [(0, n, 0, np.zeros(n, np.int64))]
     while stack:
