@@ -256,7 +256,8 @@ def trie_links(sets: list[np.ndarray], num: int, den: int, piece: np.ndarray | N
     starts = np.searchsorted(member[order], np.arange(shared + 1))
     order = np.lexsort((member, owner))
     cuts = np.searchsorted(owner[order], np.arange(n + 1))
-    paths = [member[order][cuts[i] : cuts[i + 1]] for i in range(n)]
+    by_owner = member[order]  # once: each path is a view of it
+    paths = [by_owner[cuts[i] : cuts[i + 1]] for i in range(n)]
     by_path = sorted(range(n), key=lambda i: paths[i].astype(">u4").tobytes())
     paths = [paths[i] for i in by_path]
     place = np.array(by_path)
