@@ -2,17 +2,19 @@
 
 A prefix tree of the labelled credentials of a kind is generalised by merging states whose outgoing shares agree within
 Hoeffding bounds; each candidate (a long run of key characters) is then scored by how much likelier the kind's automaton
-makes it, for each character, than the automaton of ordinary runs does.
+makes it, for each character, than the automaton of ordinary runs does. That one has a state for each last character,
+and its shares and the thresholds come from all candidates by occurrence.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from math import log, sqrt
+from math import floor, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,16 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8))
+_CHARS = [chr(c) for c in np.flatnonzero(_RUN).tolist()]
+_NUMBER = np.where(_RUN, np.cumsum(_RUN), 0)  # of a key character by its byte, from 1; 0 for any other
 _LEAST = 16  # characters of a candidate
+_LENGTHS = (8, 12, 16, 24, 40)  # short texts' scores vary more, so that each class of lengths has its own threshold
+_A_UNIT, _BINS = 50, 1000  # bins of the advantages' histogram: so many a unit, and each side of 0
 
 
 @dataclass(frozen=True)
 class Settings:
-    """per_kind bounds the credentials of a kind, and the ordinary runs, that are learned from: those of smallest hash."""
+    """per_kind bounds the credentials of a kind that are learned from: those of smallest hash. Ordinary runs all count."""
 
     per_kind: int = 300
     longest: int = 200
@@ -127,34 +133,115 @@ def infer(samples: list[str], alpha: float) -> Automaton:
     return out
 
 
+def ordinary_automaton(counts: dict[tuple[str, str], int]) -> Automaton:
+    """The automaton whose states are the last character ("" at the start), from how often each character follows it.
+
+    Each state also counts a thousandth of all characters, in their overall shares, and takes two, or four in a million of
+    all, off each of its own numbers: what few candidates alone hold, such as credentials that no pattern names, doesn't
+    make its own characters likely. No cost exceeds an unseen character's.
+    """
+    states = ["", *sorted({c for _, c in counts})]
+    number = {c: i for i, c in enumerate(states)}
+    overall: Counter = Counter()
+    own: dict[str, dict[str, int]] = {s: {} for s in states}
+    for (before, c), n in counts.items():
+        overall[c] += n
+        own[before][c] = n
+    out = Automaton([{c: number[c] for c in states[1:]} for _ in states], [{} for _ in states])
+    every = sum(overall.values())
+    for s in states:
+        left = {c: max(0.0, n - max(2, every / 250_000)) for c, n in own[s].items()}
+        room = every / 1000 + sum(own[s].values()) - sum(left.values())
+        whole = sum(left.values()) + room
+        out.cost[number[s]] = {c: max(out.unseen, log((left.get(c, 0) + room * n / every) / whole)) for c, n in overall.items()}
+    return out
+
+
+def follows(texts: list[str]) -> np.ndarray:
+    """How often each key character (number 1 and up) follows each other one, or the start (0), in the texts."""
+    codes = _NUMBER[np.frombuffer("\n".join(["", *texts, ""]).encode(), np.uint8)]
+    n = len(_CHARS) + 1
+    counts = np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
+    counts[:, 0] = 0
+    return counts
+
+
+def _named(counts: Iterator[tuple[int, int, int]]) -> dict[tuple[str, str], int]:
+    names = ["", *_CHARS]
+    return {(names[a], names[b]): n for a, b, n in counts if n}
+
+
+def _length(text: str) -> int:
+    return bisect_right(_LENGTHS, len(text))
+
+
+def _bin(advantage: float) -> int:
+    return max(-_BINS, min(_BINS, floor(advantage * _A_UNIT)))
+
+
 @dataclass
 class Model:
-    """Automata of the kinds, the one of ordinary runs, and the advantage for each character from which a run is a secret."""
+    """Automata of the kinds, the one of ordinary runs, and for each class of lengths the advantage for each character
+    from which a run is a secret."""
 
     kinds: list[Automaton]
     ordinary: Automaton
-    least: float
+    least: list[float]
 
     def advantage(self, text: str) -> float:
         return max((a.score(text) for a in self.kinds), default=-1e9) - self.ordinary.score(text)
 
     def matches(self, text: str) -> bool:
-        return bool(self.kinds) and self.advantage(text) >= self.least
+        return bool(self.kinds) and self.advantage(text) >= self.least[_length(text)]
 
 
-def learn(credentials: dict[str, list[str]], ordinary: list[str], alpha: float = 0.05) -> Model:
-    """Half of each list teaches the automata, the other half sets the threshold: above what all but one in a thousand
-    ordinary runs reach and, if there is room, half-way to what nine in ten credentials do."""
-    halves = {k: (v[::2], v[1::2]) for k, v in credentials.items() if len(v) >= 20}
-    model = Model([infer(a, alpha) for a, _ in halves.values()], infer(ordinary[::2] or [""], alpha), 0.0)
-    usual = sorted(model.advantage(x) for x in ordinary[1::2])
-    good = sorted(model.advantage(x) for _, b in halves.values() for x in b)
-    top = usual[min(len(usual) - 1, int(0.999 * len(usual)))] if usual else 0.0
-    low = good[len(good) // 10] if good else 0.0
-    model.least = max(0.0, (top + low) / 2 if low > top else top + 0.5)
+def threshold(usual: dict[int, int], good: list[float]) -> float:
+    """The advantage from which a run is a secret. `usual` has how many candidates, by occurrence, are in each bin.
+
+    Above what all but one in a thousand candidates reach and, if there is room, half-way to what nine in ten credentials
+    do. Where there is none, but fewer than one in twenty candidates get half of what nine in ten credentials do, those
+    are taken for credentials that no pattern names.
+    """
+    total, above, top = sum(usual.values()), 0, 0.0
+    for b in sorted(usual, reverse=True):
+        if (above + usual[b]) * 1000 > total:
+            top = (b + 1) / _A_UNIT
+            break
+        above += usual[b]
+    low = sorted(good)[len(good) // 10] if good else 0.0
+    if low > top:
+        return max(0.0, (top + low) / 2)
+    like = sum(n for b, n in usual.items() if b >= _bin(low / 2))
+    return low / 2 if low > 0 and like * 20 < total else max(0.0, top + 0.5)
+
+
+def halves(credentials: dict[str, list[str]]) -> list[tuple[list[str], list[str]]]:
+    """What teaches a kind's automaton, and what sets the threshold."""
+    return [(v[::2], v[1::2]) for v in credentials.values() if len(v) >= 20]
+
+
+def with_thresholds(model: Model, credentials: dict[str, list[str]], usual: dict[tuple[int, int], int]) -> Model:
+    """`usual` has the candidates' number by class of lengths and bin."""
+    good = [(_length(x), model.advantage(x)) for _, b in halves(credentials) for x in b]
+    for i in range(len(_LENGTHS) + 1):
+        own = [g for n, g in good if n == i]
+        model.least[i] = threshold({b: n for (c, b), n in usual.items() if c == i}, own if len(own) >= 10 else [g for _, g in good])
     return model
 
 
+def untold(credentials: dict[str, list[str]], counts: dict[tuple[str, str], int], alpha: float) -> Model:
+    """The automata, without thresholds yet."""
+    return Model([infer(a, alpha) for a, _ in halves(credentials)], ordinary_automaton(counts), [0.0] * (len(_LENGTHS) + 1))
+
+
+def learn(credentials: dict[str, list[str]], ordinary: list[str], alpha: float = 0.05) -> Model:
+    """Half of each list of credentials teaches the automata, the other half sets the thresholds; all ordinary runs count
+    for both, each as often as it occurs."""
+    counts = follows(ordinary)
+    model = untold(credentials, _named((a, b, int(counts[a, b])) for a, b in np.argwhere(counts).tolist()), alpha)
+    return with_thresholds(model, credentials, Counter((_length(x), _bin(model.advantage(x))) for x in ordinary))
+
+
 def _runs(text: str) -> list[tuple[int, int]]:
     """(start, end) of the maximal runs of key characters that have _LEAST at least, in code points."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -195,35 +282,64 @@ def candidates(text: str, base: list[tuple[int, int, int, str]], runs: list[tupl
     return out
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, the patterns' spans and credentials, and the candidates of every document. One pass, no shuffle."""
-    schema = "doc_id long, base array<struct<start:long,kind:int,end:long,value:string>>, runs array<struct<start:long,end:long,value:string>>"
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int, int, str]], list[tuple[int, int, str]]]]:
+    """text, the patterns' matches and the candidates of each row."""
+    for b in batches:
+        for at in range(0, len(b), 1000):
+            for text in b.column("text").slice(at, 1000).to_pylist():
+                base, runs = base_spans(text or "")
+                yield text, base, candidates(text or "", base, runs)
+
+
+def labelled(documents: DataFrame) -> DataFrame:
+    """kind, value: the credentials that the patterns find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(k, v) for _, base, _ in _scanned([b]) for _, k, _, v in base}
+            kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["kind", "value"])
+
+    return documents.select("text").mapInArrow(run, "kind int, value string")
+
+
+def _tallied(documents: DataFrame, tally: Callable[[list[str]], dict[tuple[int, int], int]]) -> Iterator[tuple[int, int, int]]:
+    """Sums over the candidates of all documents, each as often as it occurs; few keys, added up where the data are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))]
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.slice(at, 1000)
-                base, runs = [], []
-                for text in b.column("text").to_pylist():
-                    found, long = base_spans(text or "")
-                    base.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in found])
-                    runs.append([{"start": s, "end": e, "value": v} for s, e, v in candidates(text or "", found, long)])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, types[1]), pa.array(runs, types[2])], names=["doc_id", "base", "runs"])
+        sums: Counter = Counter()
+        for b in batches:
+            sums.update(tally([v for _, _, runs in _scanned([b]) for _, _, v in runs]))
+        rows = [(i, j, n) for (i, j), n in sums.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["i", "j", "n"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    sums = documents.select("text").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return ((r.i, r.j, r.n) for r in sums.collect())
 
 
-def fit(scanned: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from a bounded sample of the patterns' own credentials, which their kind labels, and of ordinary runs."""
+def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
+    """Learn from a bounded sample of the patterns' own credentials, which their kind labels, and from all candidates."""
+    base = materialise(labelled(documents).where(F.length("value").between(1, settings.longest)).distinct(), "credentials")
 
     def sample(values: DataFrame) -> list[str]:
-        fit_in = values.where(F.length("value").between(1, settings.longest)).distinct()
-        return [r.value for r in fit_in.orderBy(F.xxhash64("value"), "value").limit(settings.per_kind).collect()]
+        return [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(settings.per_kind).collect()]
+
+    credentials = {KINDS[k]: sample(base.where(F.col("kind") == k).select("value")) for k in range(3)}
 
-    base = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.value")
-    by_kind = {KINDS[k]: sample(base.where(F.col("kind") == k).select("value")) for k in range(3)}
-    return learn(by_kind, sample(scanned.select(F.explode("runs").alias("x")).select("x.value")), settings.alpha)
+    def counts(texts: list[str]) -> dict[tuple[int, int], int]:
+        found = follows(texts)
+        return {(a, b): int(found[a, b]) for a, b in np.argwhere(found).tolist()}
+
+    model = untold(credentials, _named(_tallied(documents, counts)), settings.alpha)
+
+    def bins(texts: list[str]) -> dict[tuple[int, int], int]:
+        out: Counter = Counter()
+        for x, n in Counter(texts).items():
+            out[_length(x), _bin(model.advantage(x))] += n
+        return out
+
+    return with_thresholds(model, credentials, {(i, j): n for i, j, n in _tallied(documents, bins)})
 
 
 def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -233,15 +349,14 @@ def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     automata add. A null or empty text has none. Repeated rows come back each, null ids stay, an empty table gives an
     empty result, extra columns are ignored. With fewer than 20 credentials of a kind no automaton is inferred for it.
     """
-    scanned = materialise(scan(documents), "scanned")
-    model = fit(scanned, settings)
+    model = fit(documents, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for base, runs in zip(b.column("base").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                own = [(x["start"], x["kind"], x["end"]) for x in base]
-                more = [(x["start"], 3, x["end"]) for x in runs if model.matches(x["value"])]
+            for _, base, runs in _scanned([b]):
+                own = [(s, k, e) for s, k, e, _ in base]
+                more = [(s, 3, e) for s, e, v in runs if model.matches(v)]
                 text = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)) for spans in (own, own + more)]
                 counts = [sum(k == i for _, k, _ in own) for i in range(3)]
                 rows.append((*counts, hashlib.sha256(text[0].encode()).hexdigest(), text[1]))
@@ -249,19 +364,19 @@ def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return scanned.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(documents: DataFrame, settings: Settings = Settings(), mark: str = "[SECRET]") -> DataFrame:
     """documents with every span replaced by `mark` in `text`; other columns, null texts and row count stay."""
-    model = fit(materialise(scan(documents), "scanned"), settings)
+    model = fit(documents, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column("text").to_pylist():
-                base, runs = base_spans(text or "")
-                spans = sorted([(s, e) for s, _, e, _ in base] + [(s, e) for s, e, v in candidates(text or "", base, runs) if model.matches(v)])
+            for text, base, runs in _scanned([b]):
+                spans = sorted([(s, e) for s, _, e, _ in base] + [(s, e) for s, e, v in runs if model.matches(v)])
                 parts, at = [], 0
                 for s, e in spans:
                     if s >= at:
