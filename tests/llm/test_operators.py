@@ -177,6 +177,21 @@ def test_secrets_learn_from_all_candidates_by_occurrence(spark):
     assert not any(rows[i] for i in range(100))
 
 
+def test_secrets_score_what_patterns_leave_and_pieces(spark):
+    rng = random.Random(24)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    key, short = draw(24), draw(10)
+    odd = [f"AKIA{draw(16)}/{key}", f"{'0123456789abcdef' * 2}.{key}", f"aws_access_name={key}", f"host.com/ordinary/path/{key}", f"it is {short} here"]
+    texts = keys_and_words(rng, 0) + [f"token={draw(10)}" for _ in range(60)] + odd
+    rows = {r.doc_id: r.spans for r in secrets.secrets(docs(spark, texts)).collect()}
+    for i, text in enumerate(odd, len(texts) - len(odd)):
+        at = text.find(key) if key in text else text.find(short)
+        assert f"format:{at}:{at + len(key if key in text else short)}" in rows[i].split(","), text
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs(spark, texts)).collect()}
+    assert not any(key in x or short in x for x in clean.values())
+    assert not any(rows[i] for i in range(100))
+
+
 # --- chat
 
 

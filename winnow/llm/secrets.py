@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 A prefix tree of the labelled credentials of a kind is generalised by merging states whose outgoing shares agree within
-Hoeffding bounds; each candidate (a long run of key characters) is then scored by how much likelier the kind's automaton
+Hoeffding bounds; each candidate (a run of key characters, less the patterns' matches, and its pieces) is then scored by how much likelier the kind's automaton
 makes it, for each character, than the automaton of ordinary runs does. That one has a state for each last character,
 and its shares and the thresholds come from all candidates by occurrence.
 """
@@ -31,8 +31,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8))
 _CHARS = [chr(c) for c in np.flatnonzero(_RUN).tolist()]
 _NUMBER = np.where(_RUN, np.cumsum(_RUN), 0)  # of a key character by its byte, from 1; 0 for any other
-_LEAST = 16  # characters of a candidate
+_SIGNS = "+/_.=-"
+_LEAST = 16  # characters of a candidate, unless shorter credentials are known
+_ACCESS_LEAST = 20  # characters of the shortest run that can hold one of _ACCESS or _HEX
 _LENGTHS = (8, 12, 16, 24, 40)  # short texts' scores vary more, so that each class of lengths has its own threshold
+_KNOWN = 50_000  # texts whose advantages are kept
 _A_UNIT, _BINS = 50, 1000  # bins of the advantages' histogram: so many a unit, and each side of 0
 
 
@@ -187,9 +190,16 @@ class Model:
     kinds: list[Automaton]
     ordinary: Automaton
     least: list[float]
+    shortest: int  # characters of a candidate
+    known: dict[str, float] = field(default_factory=dict)
 
     def advantage(self, text: str) -> float:
-        return max((a.score(text) for a in self.kinds), default=-1e9) - self.ordinary.score(text)
+        if (out := self.known.get(text)) is None:
+            out = max((a.score(text) for a in self.kinds), default=-1e9) - self.ordinary.score(text)
+            if len(self.known) >= _KNOWN:
+                self.known.clear()
+            self.known[text] = out
+        return out
 
     def matches(self, text: str) -> bool:
         return bool(self.kinds) and self.advantage(text) >= self.least[_length(text)]
@@ -220,18 +230,27 @@ def halves(credentials: dict[str, list[str]]) -> list[tuple[list[str], list[str]
     return [(v[::2], v[1::2]) for v in credentials.values() if len(v) >= 20]
 
 
+def shortest(credentials: dict[str, list[str]]) -> int:
+    """The length of the shortest credential that is learned from, or _LEAST if all are longer."""
+    return min((len(x) for pair in halves(credentials) for part in pair for x in part if len(x) < _LEAST), default=_LEAST)
+
+
 def with_thresholds(model: Model, credentials: dict[str, list[str]], usual: dict[tuple[int, int], int]) -> Model:
-    """`usual` has the candidates' number by class of lengths and bin."""
+    """`usual` has the candidates' number by class of lengths and bin. A class too small to tell counts with all others."""
+    together: Counter = Counter()
+    for (_, b), n in usual.items():
+        together[b] += n
     good = [(_length(x), model.advantage(x)) for _, b in halves(credentials) for x in b]
     for i in range(len(_LENGTHS) + 1):
         own = [g for n, g in good if n == i]
-        model.least[i] = threshold({b: n for (c, b), n in usual.items() if c == i}, own if len(own) >= 10 else [g for _, g in good])
+        bins = {b: n for (c, b), n in usual.items() if c == i}
+        model.least[i] = threshold(bins if sum(bins.values()) >= 1000 else together, own if len(own) >= 10 else [g for _, g in good])
     return model
 
 
 def untold(credentials: dict[str, list[str]], counts: dict[tuple[str, str], int], alpha: float) -> Model:
     """The automata, without thresholds yet."""
-    return Model([infer(a, alpha) for a, _ in halves(credentials)], ordinary_automaton(counts), [0.0] * (len(_LENGTHS) + 1))
+    return Model([infer(a, alpha) for a, _ in halves(credentials)], ordinary_automaton(counts), [0.0] * (len(_LENGTHS) + 1), shortest(credentials))
 
 
 def learn(credentials: dict[str, list[str]], ordinary: list[str], alpha: float = 0.05) -> Model:
@@ -242,13 +261,13 @@ def learn(credentials: dict[str, list[str]], ordinary: list[str], alpha: float =
     return with_thresholds(model, credentials, Counter((_length(x), _bin(model.advantage(x))) for x in ordinary))
 
 
-def _runs(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the maximal runs of key characters that have _LEAST at least, in code points."""
+def _runs(text: str, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of key characters that have `least` at least, in code points."""
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], _RUN[b], [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= _LEAST
+    long = ends - starts >= least
     starts, ends = starts[long], ends[long]
     if len(raw) != len(text) and len(starts):
         before = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
@@ -256,39 +275,81 @@ def _runs(text: str) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
-    """(start, kind's number, end, credential) of the patterns' matches, by start; and all long runs."""
-    found, runs = [], _runs(text)
+def base_spans(text: str, least: int = _ACCESS_LEAST) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
+    """(start, kind's number, end, credential) of the patterns' matches, by start; and all runs of `least` characters."""
+    found, runs = [], _runs(text, min(least, _ACCESS_LEAST))
     lower = text.lower()
     if any(w in lower for w in _WORDS):
         found += [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     for start, end in runs:
+        if end - start < _ACCESS_LEAST:
+            continue
         run = text[start:end]
         for number, pattern in ((1, _ACCESS), (2, _HEX)):
             found += [(start + m.start(), number, start + m.end(), m[0]) for m in pattern.finditer(run)]
     return sorted(found), runs
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]], runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Long runs, without signs at their ends, that touch no match of the patterns."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, int, str]], runs: list[tuple[int, int]], least: int) -> list[tuple[int, int, str]]:
+    """What the patterns' matches leave of the runs, without signs at its ends, where it has `least` characters."""
+    out, spans, at = [], sorted((s, e) for s, _, e, _ in base), 0
     for start, end in runs:
-        run = text[start:end]
-        start += len(run) - len(run.lstrip("+/_.=-"))
-        run = run.strip("+/_.=-")
-        end = start + len(run)
-        if len(run) >= _LEAST and not any(s < end and start < e for s, _, e, _ in base):
-            out.append((start, end, run))
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        i, free = at, start
+        while free < end:
+            while i < len(spans) and spans[i][1] <= free:
+                i += 1
+            stop = min(end, max(free, spans[i][0])) if i < len(spans) else end
+            part = text[free:stop]
+            first = free + len(part) - len(part.lstrip(_SIGNS))
+            if len(part := part.strip(_SIGNS)) >= least:
+                out.append((first, first + len(part), part))
+            free = spans[i][1] if stop < end else end
+    return out
+
+
+def pieces(text: str, least: int) -> list[list[tuple[int, int]]]:
+    """(start, end) of what lies between "=" signs, then also dots, then also slashes; levels that cut nothing are left
+    out. Ends have no signs, and each piece has `least` characters."""
+    out, cut = [], ""
+    for sign in "=./":
+        if sign in text:
+            cut += sign
+            level = []
+            for m in re.finditer(f"[^{re.escape(cut)}]+", text):
+                part = m[0].strip(_SIGNS)
+                first = m.start() + len(m[0]) - len(m[0].lstrip(_SIGNS))
+                if len(part) >= least:
+                    level.append((first, first + len(part)))
+            out.append(level)
     return out
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int, int, str]], list[tuple[int, int, str]]]]:
+def scored(run: str, least: int) -> list[str]:
+    """A candidate and all of its pieces."""
+    return [run, *sorted({run[s:e] for level in pieces(run, least) for s, e in level} - {run})]
+
+
+def found(run: str, model: Model) -> list[tuple[int, int]]:
+    """(start, end) of what the model takes for secrets: the whole candidate, or the largest of its pieces."""
+    if not model.kinds:
+        return []
+    if model.matches(run):
+        return [(0, len(run))]
+    out: list[tuple[int, int]] = []
+    for level in pieces(run, model.shortest):
+        out += [(s, e) for s, e in level if not any(a < e and s < b for a, b in out) and model.matches(run[s:e])]
+    return sorted(out)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[str, list[tuple[int, int, int, str]], list[tuple[int, int, str]]]]:
     """text, the patterns' matches and the candidates of each row."""
     for b in batches:
         for at in range(0, len(b), 1000):
             for text in b.column("text").slice(at, 1000).to_pylist():
-                base, runs = base_spans(text or "")
-                yield text, base, candidates(text or "", base, runs)
+                base, runs = base_spans(text or "", least)
+                yield text, base, candidates(text or "", base, runs, least)
 
 
 def labelled(documents: DataFrame) -> DataFrame:
@@ -296,20 +357,20 @@ def labelled(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {(k, v) for _, base, _ in _scanned([b]) for _, k, _, v in base}
+            found = {(k, v) for _, base, _ in _scanned([b], _ACCESS_LEAST) for _, k, _, v in base}
             kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["kind", "value"])
 
     return documents.select("text").mapInArrow(run, "kind int, value string")
 
 
-def _tallied(documents: DataFrame, tally: Callable[[list[str]], dict[tuple[int, int], int]]) -> Iterator[tuple[int, int, int]]:
+def _tallied(documents: DataFrame, least: int, tally: Callable[[list[str]], dict[tuple[int, int], int]]) -> Iterator[tuple[int, int, int]]:
     """Sums over the candidates of all documents, each as often as it occurs; few keys, added up where the data are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for b in batches:
-            sums.update(tally([v for _, _, runs in _scanned([b]) for _, _, v in runs]))
+            sums.update(tally([v for _, _, runs in _scanned([b], least) for _, _, v in runs]))
         rows = [(i, j, n) for (i, j), n in sums.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["i", "j", "n"])
@@ -331,15 +392,17 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
         found = follows(texts)
         return {(a, b): int(found[a, b]) for a, b in np.argwhere(found).tolist()}
 
-    model = untold(credentials, _named(_tallied(documents, counts)), settings.alpha)
+    least = shortest(credentials)
+    model = untold(credentials, _named(_tallied(documents, least, counts)), settings.alpha)
 
     def bins(texts: list[str]) -> dict[tuple[int, int], int]:
         out: Counter = Counter()
-        for x, n in Counter(texts).items():
-            out[_length(x), _bin(model.advantage(x))] += n
+        for run, n in Counter(texts).items():
+            for x in scored(run, least):
+                out[_length(x), _bin(model.advantage(x))] += n
         return out
 
-    return with_thresholds(model, credentials, {(i, j): n for i, j, n in _tallied(documents, bins)})
+    return with_thresholds(model, credentials, {(i, j): n for i, j, n in _tallied(documents, least, bins)})
 
 
 def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -354,9 +417,9 @@ def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for _, base, runs in _scanned([b]):
+            for _, base, runs in _scanned([b], model.shortest):
                 own = [(s, k, e) for s, k, e, _ in base]
-                more = [(s, 3, e) for s, e, v in runs if model.matches(v)]
+                more = [(s + i, 3, s + j) for s, _, v in runs for i, j in found(v, model)]
                 text = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)) for spans in (own, own + more)]
                 counts = [sum(k == i for _, k, _ in own) for i in range(3)]
                 rows.append((*counts, hashlib.sha256(text[0].encode()).hexdigest(), text[1]))
@@ -375,8 +438,8 @@ def redacted(documents: DataFrame, settings: Settings = Settings(), mark: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, base, runs in _scanned([b]):
-                spans = sorted([(s, e) for s, _, e, _ in base] + [(s, e) for s, e, v in runs if model.matches(v)])
+            for text, base, runs in _scanned([b], model.shortest):
+                spans = sorted([(s, e) for s, _, e, _ in base] + [(s + i, s + j) for s, _, v in runs for i, j in found(v, model)])
                 parts, at = [], 0
                 for s, e in spans:
                     if s >= at:
