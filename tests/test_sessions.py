@@ -121,6 +121,17 @@ def test_models_are_pluggable(spark):
         S.scorer("nothing")
 
 
+def test_embedding_scorers_get_whole_queries_and_instructions(spark):
+    turns = spark.createDataFrame([("c", 1, "system", "d" * 2048 + "END", 9, "long")], "conv_id string, turn_index long, kind string, text string, tokens long, tier string")
+    queries = spark.createDataFrame([("c", "q" * 3990 + "END")], "conv_id string, query string")
+
+    def embed(texts):  # (1, 0) for what is expected of both, (0, 1) or (1, 1) otherwise
+        return [[float(x.startswith("Instruct: Find assistant responses") or x.startswith("Instruct: AI coding assistant response")), float(not x.endswith("END"))] for x in texts]
+
+    assert S.scorer("embed")(turns, queries, embed).first().score == pytest.approx(1.0)
+    assert S.scorer("http-embed")(turns, queries, embed).first().score == pytest.approx((0.5**0.5 + 1) / 2)
+
+
 def test_sinks_and_compact(spark, tmp_path):
     rows = [("c", 0, "user", ["u"], "do it"), ("c", 1, "system", ["s1", "s2"], "ValueError " * 200), ("c", 2, "system", ["s3"], "tail")]
     turns = spark.createDataFrame(rows, "conv_id string, turn_index long, kind string, lines array<string>, text string").withColumn("tokens", token_count(F.col("text")))

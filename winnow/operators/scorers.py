@@ -4,6 +4,7 @@ long system turns. Counts over a conversation take in all of its turns."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from winnow.functions.entities import explode_entities, weight
 EXCLUSIVE, EXCLUSIVE_TURNS = 1.2, 2
 CLIENT_LIMIT, RERANK_BATCH = 2048, 64
 SUMMARY_INPUT, SUMMARY_TOKENS = 600_000, 16_000
+ASK = "Instruct: Find assistant responses from an AI coding conversation that contain information needed to continue the current task: code changes, decisions, errors, file paths, architectural context, or unfinished work.\nQuery: "
+TELL = "Instruct: AI coding assistant response from a conversation history\nQuery: "
 # End of fixed values.
 
 
@@ -84,13 +87,17 @@ def cosine(a: str, b: str):
     return (dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)) + 1) / 2
 
 
-def embedded(turns: DataFrame, queries: DataFrame, embed: Callable[[list[str]], list[list[float]]], limit: int = CLIENT_LIMIT) -> DataFrame:
+def embedded(turns: DataFrame, queries: DataFrame, embed: Callable[[list[str]], list[list[float]]], limit: int | None = None, ask: str = "", tell: str = "") -> DataFrame:
     """Similarity of each long turn to its conversation's query, by a caller's embedding of lists of texts, which runs on
-    the executors: a local model or a client of a service."""
+    the executors: a local model or a client of a service.
+
+    Turns go to it behind `tell` and queries, in calls of their own, behind `ask`, as the methods of SCORERS do; `limit`
+    cuts turns, and never queries.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p.assign(vec=embed([x[:limit] for x in p["text"]]), ask=embed([x[:limit] for x in p["query"]]))[["conv_id", "turn_index", "tokens", "vec", "ask"]]
+            yield p.assign(vec=embed([tell + x[:limit] for x in p["text"]]), ask=embed([ask + x for x in p["query"]]))[["conv_id", "turn_index", "tokens", "vec", "ask"]]
 
     asked = queries.select(F.col("conv_id").alias("_c"), "query")
     rows = turns.where("tier = 'long'").join(asked, F.col("conv_id") == F.col("_c")).select("conv_id", "turn_index", "tokens", "text", "query")
@@ -142,7 +149,7 @@ def summarised(turns: DataFrame, budget: int, summarise: Callable[[str, int], st
     return summary_prompts(turns, budget).mapInPandas(run, f"conv_id {kind}, turn_index long, kind string, text string")
 
 
-SCORERS: dict[str, Callable[..., DataFrame]] = {"dedup": dedup, "eitf": eitf, "setcover": setcover, "embed": embedded, "http-embed": embedded, "http-rerank": reranked}
+SCORERS: dict[str, Callable[..., DataFrame]] = {"dedup": dedup, "eitf": eitf, "setcover": setcover, "embed": partial(embedded, ask=ASK, tell=TELL), "http-embed": partial(embedded, limit=CLIENT_LIMIT, ask=ASK, tell=TELL), "http-rerank": reranked}
 
 
 def scorer(name: str) -> Callable[..., DataFrame]:
