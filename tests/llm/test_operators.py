@@ -192,6 +192,14 @@ def test_secrets_score_what_patterns_leave_and_pieces(spark):
     assert not any(rows[i] for i in range(100))
 
 
+def test_secrets_learn_from_few_credentials(spark):
+    rng = random.Random(34)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = keys_and_words(rng, 0)[:100] + [f"token={draw(40)}" for _ in range(11)] + [f"so {draw(20)} it is" for _ in range(5)]
+    rows = {r.doc_id: r.spans for r in secrets.secrets(docs(spark, texts)).collect()}
+    assert all(rows[i] == "format:3:23" for i in range(111, 116)) and not any(rows[i] for i in range(100))
+
+
 # --- chat
 
 

@@ -226,8 +226,10 @@ def threshold(usual: dict[int, int], good: list[float]) -> float:
 
 
 def halves(credentials: dict[str, list[str]]) -> list[tuple[list[str], list[str]]]:
-    """What teaches a kind's automaton, and what sets the threshold."""
-    return [(v[::2], v[1::2]) for v in credentials.values() if len(v) >= 20]
+    """What teaches each automaton, and what sets the threshold; one credential does both. Kinds of fewer than 20
+    credentials are taken together, as few characters of one say little about its others."""
+    rare = list(dict.fromkeys(x for v in credentials.values() if len(v) < 20 for x in v))
+    return [(v[::2], v[1::2] or v) for v in [*(v for v in credentials.values() if len(v) >= 20), rare] if v]
 
 
 def shortest(credentials: dict[str, list[str]]) -> int:
@@ -410,7 +412,7 @@ def secrets(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas; `format` is what the
     automata add. A null or empty text has none. Repeated rows come back each, null ids stay, an empty table gives an
-    empty result, extra columns are ignored. With fewer than 20 credentials of a kind no automaton is inferred for it.
+    empty result, extra columns are ignored. Kinds of fewer than 20 credentials share an automaton; without any credentials there is none.
     """
     model = fit(documents, settings)
 
