@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the operators; each stage reads what the one before it kept, written as Parquet.
 
-All stages but the last return the columns of documents. Rows without doc_id, and repeated rows, pass as the stages'
-operators say; an empty table passes through.
+All stages but the last return the columns of documents. Stages that decide on documents do so for each row, so that
+rows without doc_id, rows that share one, and repeated rows are documents of their own; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -21,15 +21,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own, written so that it stays."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group that shares four fifths of its five-word shingles.
+    """The document of smallest doc_id, null last, of each group that shares four fifths of its five-word shingles.
 
-    Of equal rows one stays; rows without doc_id all stay.
+    Of rows with one doc_id that are in one group one stays.
     """
-    found = jaccard.jaccard_components(docs, n=5, num=8, den=10)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = numbered(docs)
+    found = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=8, den=10).select(F.col("doc_id").alias("_id"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))["_row"].alias("_id")
+    kept = rows.select("doc_id", "_row").join(found, F.col("_row") == F.col("_id")).groupBy("component_id").agg(first)
+    return rows.join(kept.select("_id"), F.col("_row") == F.col("_id"), "left_semi").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +45,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: a row for each time."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.withColumnRenamed("doc_id", "_id")
-    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = numbered(docs)
+    taken = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    many = rows.join(taken, F.col("_row") == F.col("_id"))
     return many.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 

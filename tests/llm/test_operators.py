@@ -371,3 +371,21 @@ def test_pipeline(spark):
     assert sorted(one.doc_id) == sorted({int(texts.doc_id[r]) for r in root})
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
+
+
+def test_pipeline_decides_for_each_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(44)
+    texts = [words(rng, 30) for _ in range(30)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i % 3 == 0 else i // 6, t, "en", "ab"[i % 2], 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows + [(None, texts[0], "en", "a", 0), (99, texts[3], "en", "b", 0)], columns)
+    one = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert one.columns == frame.columns and sorted(r.text for r in one.collect()) == sorted(texts)
+    assert one.where("doc_id = 99").count() == 1
+    frame = frame.limit(30)
+    taken = mixing.mix(frame).agg(F.sum("taken")).first()[0]
+    mixed = [r.text for r in corpus_pipeline.mix_sources(spark, frame, "").collect()]
+    assert sum(len(t.split()) for t in mixed) <= 1.5 * 900 and abs(sum(len(t.split()) for t in mixed) - taken) <= 60
+    assert max(collections.Counter(mixed).values()) <= 2
