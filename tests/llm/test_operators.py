@@ -101,8 +101,8 @@ def components(texts, n, num, den):
     return root, [len(s) for s in sets]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "chunk"), [(3, 90, 100, 512), (5, 8, 10, 4), (2, 7, 10, 3)])
-def test_jaccard_against_brute_force(spark, n, num, den, chunk):
+@pytest.mark.parametrize(("n", "num", "den", "chunk", "hot", "split"), [(3, 90, 100, 512, 1000, 200), (5, 8, 10, 4, 1000, 200), (2, 7, 10, 3, 4, 200), (3, 8, 10, 512, 1000, 8)])
+def test_jaccard_against_brute_force(spark, n, num, den, chunk, hot, split):
     rng = random.Random(n)
     texts = odd_texts(rng)
     for size in (4, 9, 11, 12, 30, 60, 200):
@@ -113,7 +113,7 @@ def test_jaccard_against_brute_force(spark, n, num, den, chunk):
                 copy[rng.randrange(len(copy))] = f"z{rng.randrange(99)}"
             texts.append(" ".join(copy).upper() if rng.random() < 0.3 else "\t".join(copy))
     root, sizes = components(texts, n, num, den)
-    rows = jaccard.jaccard_components(docs(spark, texts), n, num, den, chunk).collect()
+    rows = jaccard.jaccard_components(docs(spark, texts), n, num, den, chunk, hot, split).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (sizes[i], root[i]) for i in range(len(texts))}
 
 

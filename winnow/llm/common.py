@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a folder of our own: a temporary one if driver and executors are one process, else one beside the
+    warehouse, which executors share.
+    """
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where
     context = spark.sparkContext
-    if not (where := context._jsc.sc().getCheckpointDir().getOrElse(None) if context._jsc.sc().getCheckpointDir().isDefined() else None):
+    now = context._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    if re.fullmatch(r"local(\[.*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-"))
-        where = context._jsc.sc().getCheckpointDir().get()
-    return where
+    else:
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_winnow")
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -32,7 +41,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what `materialise` wrote for these frames; nothing may read them, or what was made of them, afterwards."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def blocks_for(rows: int, per_block: int) -> int:

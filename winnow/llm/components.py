@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialise
+from winnow.llm.common import discard, materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and the sum of their hashes."""
+    seen = Observation()
+    out = materialise(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"])
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """_u, _m: the smallest end of each node's edges. Dealt anew, so that a join with it can be split where a hub is."""
+    return edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")).repartition(F.col("_m"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -19,26 +27,18 @@ def connected(edges: DataFrame) -> DataFrame:
     in practice; a hub's edges meet their minimum in a join, which Spark splits where it is skewed.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialise(now, "edges")
-    before = _state(now)
+    now, before = _written(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # minima are written, so that both sides of the joins are dealt anew and a hub's edges can be split
-        least = materialise(both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")), "least")
-        large = (
-            both.join(least, F.col("a") == F.col("_u"))
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.least("_m", "a").alias("b"))
-            .distinct()
-        )
-        large = materialise(large, "edges")
-        least = materialise(large.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")), "least")
-        small = large.join(least, F.col("a") == F.col("_u")).where("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        now = materialise(small.unionByName(least.select(F.col("_u").alias("a"), F.col("_m").alias("b"))).distinct(), "edges")
-        after = _state(now)
-        if after == before:
+        large = both.join(_least(both), F.col("a") == F.col("_u")).where("b > a").select(F.col("b").alias("a"), F.least("_m", "a").alias("b")).distinct()
+        small = large.join(_least(large), F.col("a") == F.col("_u")).where("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        roots = large.groupBy("a").agg(F.min("b").alias("b"))
+        after, state = _written(small.unionByName(roots).distinct())
+        discard(now)
+        now = after
+        if state == before:
             break
-        before = after
+        before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
