@@ -355,6 +355,24 @@ def test_warc_round_trip(spark, tmp_path):
     json.dumps(sorted(first))
 
 
+def test_warc_shards_hold_alike(spark, tmp_path):
+    # an outlier among the ids, an id that repeats, and rows without id: none of them makes one shard of it all
+    html = lambda i: f"{i} " * 50
+    rows = [(i, f"u{i}", html(i)) for i in range(400)] + [(2**62, "far", html(1))]
+    rows += [(1000, f"u{i}", html(i)) for i in range(200)] + [(None, f"u{i}", html(i)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = [warc.write(frame.repartition(n), f"file://{tmp_path}/{n}", shard_bytes=10_000, file_bytes=1 << 20).collect() for n in (1, 6)]
+    assert sorted(map(str, made[0])) == sorted(map(str, made[1]))
+    assert len(made[0]) >= 10 and max(m.records for m in made[0]) <= 120 and sum(m.records for m in made[0]) == len(rows)
+    got = warc.read(spark, f"file://{tmp_path}/6").collect()
+    count = lambda k: sum(r.page_id == k for r in got)
+    assert (count(1000), count(None), count(2**62)) == (200, 200, 1)
+    lead = {}
+    for i, _, h in rows:
+        lead[h] = max(lead.get(h, -1), -1 if i is None else i)
+    assert sorted((str(r.page_id), r.refers_to or 0) for r in got) == sorted((str(i), 0 if i == lead[h] else lead[h]) for i, _, h in rows)
+
+
 # --- pipeline
 
 

@@ -17,7 +17,7 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 def _least(edges: DataFrame) -> DataFrame:
     """_u, _m: the smallest end of each node's edges. Dealt anew, so that a join with it can be split where a hub is."""
-    return edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")).repartition(F.col("_m"))
+    return edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")).repartition(F.xxhash64("_u"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader of what it has committed.
 
-Records go to shards by ranges of page_id with nearly equal payload bytes; a shard rolls to a new file when its compressed
-size is reached. Files are written under temporary names and renamed; the manifest, written last, names the files that
+Records are range-sorted by page_id: shards are ranges of ids with nearly equal payload bytes, and each shard is a task of
+its own. An id of more bytes than a shard, and the rows without id, are dealt over several shards by url and digest. A shard
+rolls to a new file when its compressed size is reached. Files are written under temporary names and renamed; the manifest, written last, names the files that
 count. The same table gives the same files, byte for byte, so that a task run twice does no harm.
 """
 
@@ -12,15 +13,20 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.common import blocks_for, materialise, shared_dir
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace for URLs of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_CELLS = 16  # of ids for each shard
+_STEP = 1 << 16  # bytes that are unpacked at once
 _DATE = "2000-01-01T00:00:00Z"  # fixed, as the table has none and reruns must agree
 
 
@@ -57,10 +63,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of the records of an archive, one gzip member each."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    at = 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the last record is cut off")
+            part = data[at : at + _STEP]
+            parts.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -69,19 +81,61 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["content-length"])]
 
 
-def _shard_starts(sized: DataFrame, shard_bytes: int) -> list[int]:
-    """The page_ids at which shards after the first begin. Exact and the same on each run; a number for each shard."""
-    by_id = sized.groupBy("page_id").agg(F.sum("bytes").alias("bytes")).where("page_id is not null")
-    stats = by_id.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    if not stats[3]:
-        return []
-    # ranges of ids, then a running sum of their bytes: each range is summed alone
-    cells = blocks_for(stats[3], 256)
-    width = max(1, (stats[1] - stats[0]) // cells + 1)
-    by_cell = by_id.groupBy(F.floor((F.col("page_id") - stats[0]) / width).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("page_id").alias("least"))
-    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_cell.withColumn("shard", F.floor(F.coalesce(F.sum("bytes").over(order), F.lit(0)) / shard_bytes))
-    return sorted(r[1] for r in before.groupBy("shard").agg(F.min("least")).collect())[1:]
+@dataclass(frozen=True)
+class Shards:
+    """Shard i holds the ids from starts[i] on; heavy ids (in order) take `parts` shards each instead, from `first` on, and
+    rows without id the last `loose` ones."""
+
+    starts: np.ndarray
+    heavy: np.ndarray
+    parts: np.ndarray
+    loose: int
+
+    @property
+    def count(self) -> int:
+        return len(self.starts) + int(self.parts.sum()) + self.loose
+
+    def of(self, page_id: pd.Series, dealt: pd.Series) -> pd.Series:
+        none = page_id.isna().to_numpy()
+        ids = page_id.fillna(0).to_numpy(np.int64)
+        out = np.maximum(0, np.searchsorted(self.starts, ids, "right") - 1)
+        spread = dealt.to_numpy(np.int64).view(np.uint64)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, ids), len(self.heavy) - 1)
+            first = len(self.starts) + np.cumsum(self.parts) - self.parts
+            out = np.where(self.heavy[at] == ids, first[at] + (spread % self.parts[at].astype(np.uint64)).astype(np.int64), out)
+        if self.loose:
+            out = np.where(none, self.count - self.loose + (spread % np.uint64(self.loose)).astype(np.int64), out)
+        return pd.Series(out.astype(np.int32))
+
+
+def _shards(sized: DataFrame, shard_bytes: int) -> Shards:
+    """Exact and the same on each run, however the rows are laid out; the driver sees some numbers for each shard.
+
+    Ids of the smallest hashes, some _CELLS for each shard, cut the ids into cells, whose bytes are then added up: so cells
+    follow the ids, wherever those lie.
+    """
+    loose = sized.where("page_id is null").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    loose = blocks_for(loose[0], shard_bytes) if loose[1] else 0
+    by_id = materialise(sized.where("page_id is not null").groupBy("page_id").agg(F.sum("bytes").alias("bytes")), "ids")
+    heavy = sorted((r.page_id, blocks_for(r.bytes, shard_bytes)) for r in by_id.where(F.col("bytes") > shard_bytes).collect())
+    light = by_id.where(F.col("bytes") <= shard_bytes)
+    total, n = light.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    share = min(1.0, _CELLS * blocks_for(total, shard_bytes) / max(1, n))
+    cuts = np.array(sorted(r.page_id for r in light.where(F.xxhash64("page_id") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).collect()), np.int64)
+
+    @F.pandas_udf("long")
+    def cell(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, page_id.to_numpy(np.int64), "right"))
+
+    cells = light.groupBy(cell("page_id").alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("page_id").alias("least")).collect()
+    starts, before, shard = [], 0, -1
+    for r in sorted(cells, key=lambda r: r.cell):
+        if before // shard_bytes > shard:
+            shard = before // shard_bytes
+            starts.append(r.least)
+        before += r.bytes
+    return Shards(np.array(starts, np.int64), np.array([x for x, _ in heavy], np.int64), np.array([k for _, k in heavy], np.int64), loose)
 
 
 def write(pages: DataFrame, folder: str, min_payload: int = 0, shard_bytes: int = 32 << 20, file_bytes: int = 8 << 20, level: int = 6) -> DataFrame:
@@ -95,21 +149,22 @@ def write(pages: DataFrame, folder: str, min_payload: int = 0, shard_bytes: int
     """
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload"))
-    sized = materialise(pages.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "digests")
+    sha1 = F.unhex(F.sha1("payload"))
+    dealt = F.xxhash64("url", sha1)
+    sized = materialise(pages.select("page_id", dealt.alias("dealt"), sha1.alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "digests")
     lead = sized.where(F.col("bytes") >= min_payload).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     lead = lead.where("n > 1 and refers_to is not null").select(F.col("sha1").alias("_sha1"), "refers_to")
     revisits = sized.join(lead, F.col("sha1") == F.col("_sha1")).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = revisits.select("page_id", "sha1", "refers_to").distinct()
-    starts = _shard_starts(sized, shard_bytes)
-    shard = F.size(F.filter(F.array(*[F.lit(s) for s in starts]).cast("array<long>"), lambda s: s <= F.col("page_id"))) if starts else F.lit(0)
-    shard = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(shard)
+    revisits = revisits.select("page_id", "dealt", "sha1", "refers_to").distinct()
+    shards = _shards(sized, shard_bytes)
+    shard_of = F.pandas_udf(shards.of, "int")
     nothing = F.lit(None)
-    both = pages.select("page_id", "url", "payload", nothing.cast("binary").alias("sha1"), nothing.cast("long").alias("refers_to")).unionByName(
-        revisits.select("page_id", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "sha1", "refers_to")
+    both = pages.select("page_id", dealt.alias("dealt"), "url", "payload", nothing.cast("binary").alias("sha1"), nothing.cast("long").alias("refers_to")).unionByName(
+        revisits.select("page_id", "dealt", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "sha1", "refers_to")
     )
-    # a page's own revisits stand before it: the payload moves once
-    shards = len(starts) + 2
-    dealt = both.withColumn("shard", shard.cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", F.col("sha1").isNull(), "url", "payload")
+    # a page's own revisits stand before it: the payload moves once, to the task that writes its shard
+    both = both.withColumn("shard", shard_of("page_id", "dealt")).drop("dealt")
+    dealt = both.repartitionById(max(1, shards.count), "shard").sortWithinPartitions("shard", "page_id", F.col("sha1").isNull(), "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -124,7 +179,7 @@ def write(pages: DataFrame, folder: str, min_payload: int = 0, shard_bytes: int
             if out is not None:
                 stream, temporary, digest, count, size = out
                 stream.close()
-                name = f"part-{shard + 1:06d}-{rolled:05d}.warc.gz"
+                name = f"part-{shard:06d}-{rolled:05d}.warc.gz"
                 where.move(temporary, f"{root}/{name}")
                 done.append((name, count, size, digest.hexdigest()))
                 out, rolled = None, rolled + 1
