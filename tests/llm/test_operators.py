@@ -1,9 +1,11 @@
 """The operators against brute force, and on nulls, empty tables, repeated rows and extra columns."""
 
 import collections
+import fractions
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 from zlib import crc32
@@ -303,6 +305,26 @@ def test_neighbours_against_brute_force(spark):
     assert nearest.neighbours(frame.limit(0)).count() == 0
 
 
+def test_searches_over_the_range_of_doubles(spark):
+    rng = np.random.default_rng(9)
+    scales = [1e-310, 1e-200, 1.0, 1e9, 1e17, 1e200, 1.7e308]
+    rows = [(i, (rng.uniform(-1, 1, 4) * scales[i % 7]).tolist()) for i in range(140)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(frame, every=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    codes = {i: [int(math.floor(fractions.Fraction(x) * 256)) for x in v] for i, v in rows}
+    held = lambda x: max(1 - 2**63, min(2**63 - 1, x))
+    for q in range(0, 140, 10):
+        assert got[q] == sorted((-held(sum(a * b for a, b in zip(codes[q], c, strict=True))), i) for i, c in codes.items() if i != q)[:5]
+    got = collections.defaultdict(list)
+    for r in nearest.neighbours(frame, every=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 140, 10):
+        want = sorted((math.dist(rows[q][1], v), i) for i, v in rows if i != q)[:10]
+        assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want], rel=1e-12, abs=0) and len(got[q]) == 10
+
+
 # --- sharding
 
 
