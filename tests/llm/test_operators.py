@@ -202,6 +202,35 @@ def test_secrets_learn_from_few_credentials(spark):
     assert all(rows[i] == "format:3:23" for i in range(111, 116)) and not any(rows[i] for i in range(100))
 
 
+def test_automata_know_places_and_ends():
+    rng = random.Random(64)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    forty = secrets.infer([draw(hexa, 40) for _ in range(100)], 0.05)
+    assert len(forty.next) == 41 and forty.score(draw(hexa, 40)) > forty.score(draw(hexa, 30)) + 0.1
+    keys = secrets.infer([f"sk_{rng.choice(['live', 'test'])}_{draw(upper, 12)}" for _ in range(100)], 0.05)
+    assert keys.score(f"sk_live_{draw(upper, 12)}") > max(keys.score(f"ks_live_{draw(upper, 12)}"), keys.score(draw(upper, 20))) + 0.5
+    assert len(secrets.infer([draw("ab", rng.randrange(1, 30)) for _ in range(300)], 0.05).next) < 10
+    assert len(secrets.infer([], 0.05).next) == 1
+
+
+def test_secrets_planted_in_a_table(spark):
+    # of six keys without a name and of lengths that no label has, five at least are found, and nothing else
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    planted = [*(f"so {draw(n)} it is" for n in (18, 20, 22, 23)), f"refresh_code={draw(22)} then", f"https://x.org/a/{draw(23)}?b"]
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    rows = [r.doc_id >= 10**9 for r in secrets.secrets(frame.unionByName(more)).where("spans like '%format%'").collect()]
+    assert all(rows) and len(rows) >= 5
+
+
+def test_secrets_of_repeated_rows_and_null_ids(spark):
+    rows = [(i, f"token={'abcdef12' * 3}") for i in (None, None, 3, 3)] + [(None, None)]
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.n_hex) for r in got) == [(0, 0, 0), (0, 1, 1), (0, 1, 1), (3, 1, 1), (3, 1, 1)]
+
+
 # --- chat
 
 

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 A prefix tree of the labelled credentials of a kind is generalised by merging states whose outgoing shares agree within
-Hoeffding bounds; each candidate (a run of key characters, less the patterns' matches, and its pieces) is then scored by how much likelier the kind's automaton
-makes it, for each character, than the automaton of ordinary runs does. That one has a state for each last character,
+Hoeffding bounds: those of one depth first, then those of different depths, so that the automaton tells at which place what
+may stand and where a credential ends. Each candidate (a run of key characters, less the patterns' matches, and its pieces)
+is then scored by how much likelier the kind's automaton makes it, for each character, than that of ordinary runs does. That one has a state for each last character,
 and its shares and the thresholds come from all candidates by occurrence.
 """
 
@@ -32,6 +33,7 @@ _RUN = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefg
 _CHARS = [chr(c) for c in np.flatnonzero(_RUN).tolist()]
 _NUMBER = np.where(_RUN, np.cumsum(_RUN), 0)  # of a key character by its byte, from 1; 0 for any other
 _SIGNS = "+/_.=-"
+_NO_END = 0.02  # samples that count as ending in a state where none does
 _LEAST = 16  # characters of a candidate, unless shorter credentials are known
 _ACCESS_LEAST = 20  # characters of the shortest run that can hold one of _ACCESS or _HEX
 _LENGTHS = (8, 12, 16, 24, 40)  # short texts' scores vary more, so that each class of lengths has its own threshold
@@ -50,21 +52,30 @@ class Settings:
 
 @dataclass
 class Automaton:
+    """next: where a state goes by each character, other: where by any else; cost: log shares; end: those of ending there."""
+
     next: list[dict[str, int]] = field(default_factory=list)
     cost: list[dict[str, float]] = field(default_factory=list)
+    other: list[int] = field(default_factory=list)
+    end: list[float] = field(default_factory=list)
     unseen: float = log(1e-4)
 
     def score(self, text: str) -> float:
-        """Log likelihood for each character; after a character that a state has not seen, it starts over."""
+        """Log likelihood, that of ending after the last character included, for each character and the end."""
         total, state = 0.0, 0
         for c in text:
             total += self.cost[state].get(c, self.unseen)
-            state = self.next[state].get(c, 0)
-        return total / max(1, len(text))
+            state = self.next[state].get(c, self.other[state])
+        return (total + self.end[state]) / (len(text) + 1)
+
 
+def infer(samples: list[str], alpha: float, support: int = 20) -> Automaton:
+    """Merge the states of the samples' prefix tree that are statistically compatible.
 
-def infer(samples: list[str], alpha: float) -> Automaton:
-    """Merge the states of the samples' prefix tree that are statistically compatible, in breadth-first order."""
+    First those of one depth, from the root down: few samples pass through each, so that only together they tell what may
+    stand at a place, and where samples end. Then, breadth first, those of different depths that `support` samples pass.
+    Each state's shares are smoothed by the characters' overall shares, with the weight of a sample for each character.
+    """
     next_: list[dict[str, int]] = [{}]
     seen, ends, through = [0], [0], [{}]
     for s in sorted(samples):
@@ -82,14 +93,24 @@ def infer(samples: list[str], alpha: float) -> Automaton:
         seen[state] += 1
         ends[state] += 1
     room = sqrt(0.5 * log(2 / alpha))
+    merged = list(range(len(next_)))
+
+    def find(x: int) -> int:
+        while merged[x] != x:
+            merged[x] = merged[merged[x]]
+            x = merged[x]
+        return x
 
     def differ(a: int, n: int, b: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(a / n - b / m) > room * (1 / sqrt(n) + 1 / sqrt(m))
 
     def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, known = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
+            a, b = map(find, todo.pop())
+            if a == b or (a, b) in known:
+                continue
+            known.add((a, b))
             if differ(ends[a], seen[a], ends[b], seen[b]):
                 return False
             for c in through[a].keys() | through[b].keys():
@@ -99,10 +120,13 @@ def infer(samples: list[str], alpha: float) -> Automaton:
                     todo.append((next_[a][c], next_[b][c]))
         return True
 
-    def fold(a: int, b: int) -> None:
+    def merge(a: int, b: int) -> None:
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(find, todo.pop())
+            if a == b:
+                continue
+            merged[b] = a
             seen[a] += seen[b]
             ends[a] += ends[b]
             for c, n in through[b].items():
@@ -112,60 +136,81 @@ def infer(samples: list[str], alpha: float) -> Automaton:
                 else:
                     next_[a][c] = next_[b][c]
 
-    kept, waiting = [0], deque((0, c) for c in sorted(next_[0]))
+    def below(states: list[int]) -> list[int]:
+        return list(dict.fromkeys(find(next_[s][c]) for s in states for c in sorted(next_[s])))
+
+    level = [0]
+    while level := below(level):
+        groups: list[int] = []
+        for state in level:
+            if like := next((g for g in groups if compatible(g, state)), None):
+                merge(like, state)
+            else:
+                groups.append(state)
+        level = groups
+    kept, waiting = [0], below([0])
     while waiting:
-        parent, c = waiting.popleft()
-        state = next_[parent][c]
+        state = find(waiting.pop(0))
         if state in kept:
             continue
-        for other in kept:
-            if compatible(other, state):
-                next_[parent][c] = other
-                fold(other, state)
-                known = {(p, x) for p, x in waiting}
-                waiting.extend((p, x) for p in kept for x in sorted(next_[p]) if next_[p][x] not in kept and (p, x) not in known)
-                break
+        like = next((k for k in kept if min(seen[k], seen[state]) >= support and compatible(k, state)), None)
+        if like is not None:
+            merge(like, state)
+            kept = list(dict.fromkeys(map(find, kept)))
+            waiting += below(kept)
         else:
             kept.append(state)
-            waiting.extend((state, x) for x in sorted(next_[state]))
-    number = {s: i for i, s in enumerate(kept)}
+            waiting += below([state])
+    reached = [0]
+    for s in reached:
+        reached += [t for t in below([s]) if t not in reached]
+    number = {s: i for i, s in enumerate(reached)}
+    overall = Counter(c for s in samples for c in s)
+    every = sum(overall.values())
     out = Automaton()
-    for s in kept:
-        out.next.append({c: number.get(t, 0) for c, t in next_[s].items()})
-        out.cost.append({c: log(n / (seen[s] + 1)) for c, n in through[s].items()})
+    for s in reached:
+        out.next.append({c: number[find(t)] for c, t in next_[s].items()})
+        out.cost.append({c: log((through[s].get(c, 0) + len(overall) * n / every) / (seen[s] + len(overall))) for c, n in overall.items()})
+        likeliest = max(sorted(through[s]), key=lambda c: through[s][c], default=None)
+        out.other.append(out.next[-1][likeliest] if likeliest is not None else 0)
+        out.end.append(max(out.unseen, log((ends[s] + _NO_END) / (seen[s] + 1))))
     return out
 
 
 def ordinary_automaton(counts: dict[tuple[str, str], int]) -> Automaton:
-    """The automaton whose states are the last character ("" at the start), from how often each character follows it.
+    """The automaton whose states are the last character ("" at the start), from how often each character, or the end (""),
+    follows it.
 
     Each state also counts a thousandth of all characters, in their overall shares, and takes two, or four in a million of
     all, off each of its own numbers: what few candidates alone hold, such as credentials that no pattern names, doesn't
     make its own characters likely. No cost exceeds an unseen character's.
     """
-    states = ["", *sorted({c for _, c in counts})]
+    states = ["", *sorted({c for _, c in counts if c})]
     number = {c: i for i, c in enumerate(states)}
     overall: Counter = Counter()
     own: dict[str, dict[str, int]] = {s: {} for s in states}
     for (before, c), n in counts.items():
-        overall[c] += n
-        own[before][c] = n
-    out = Automaton([{c: number[c] for c in states[1:]} for _ in states], [{} for _ in states])
+        if c:
+            overall[c] += n
+            own[before][c] = n
+    out = Automaton([{c: number[c] for c in states[1:]} for _ in states], [{} for _ in states], [0] * len(states))
     every = sum(overall.values())
     for s in states:
         left = {c: max(0.0, n - max(2, every / 250_000)) for c, n in own[s].items()}
         room = every / 1000 + sum(own[s].values()) - sum(left.values())
-        whole = sum(left.values()) + room
+        ends = counts.get((s, ""), 0)
+        whole = sum(left.values()) + room + ends + 1
         out.cost[number[s]] = {c: max(out.unseen, log((left.get(c, 0) + room * n / every) / whole)) for c, n in overall.items()}
+        out.end.append(max(out.unseen, log((ends + 1) / whole)))
     return out
 
 
 def follows(texts: list[str]) -> np.ndarray:
-    """How often each key character (number 1 and up) follows each other one, or the start (0), in the texts."""
+    """How often each key character (number 1 and up), or the end (0), follows each other one, or the start (0), in the texts."""
     codes = _NUMBER[np.frombuffer("\n".join(["", *texts, ""]).encode(), np.uint8)]
     n = len(_CHARS) + 1
     counts = np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
-    counts[:, 0] = 0
+    counts[0, 0] = 0
     return counts
 
 
