@@ -207,10 +207,12 @@ def test_automata_know_places_and_ends():
     draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     forty = secrets.infer([draw(hexa, 40) for _ in range(100)], 0.05)
-    assert len(forty.next) == 41 and forty.score(draw(hexa, 40)) > forty.score(draw(hexa, 30)) + 0.1
+    mean = lambda n: sum(forty.score(draw(hexa, n)) for _ in range(200)) / 200
+    assert len(forty.next) == 41 and mean(40) > mean(30) + 0.1 and mean(40) > mean(50) + 0.1
     keys = secrets.infer([f"sk_{rng.choice(['live', 'test'])}_{draw(upper, 12)}" for _ in range(100)], 0.05)
-    assert keys.score(f"sk_live_{draw(upper, 12)}") > max(keys.score(f"ks_live_{draw(upper, 12)}"), keys.score(draw(upper, 20))) + 0.5
-    assert len(secrets.infer([draw("ab", rng.randrange(1, 30)) for _ in range(300)], 0.05).next) < 10
+    assert keys.score(f"sk_live_{draw(upper, 12)}") > max(keys.score(f"ks_live_{draw(upper, 12)}"), keys.score(draw(upper, 20))) + 0.3
+    # where samples end is a matter of chance alone: depths tell nothing
+    assert len(secrets.infer([draw("ab", 1 + int(rng.expovariate(0.1))) for _ in range(300)], 0.05).next) < 20
     assert len(secrets.infer([], 0.05).next) == 1
 
 
@@ -458,3 +460,39 @@ def test_pipeline_decides_for_each_row(spark):
     mixed = [r.text for r in corpus_pipeline.mix_sources(spark, frame, "").collect()]
     assert sum(len(t.split()) for t in mixed) <= 1.5 * 900 and abs(sum(len(t.split()) for t in mixed) - taken) <= 60
     assert max(collections.Counter(mixed).values()) <= 2
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _id string, _n int, _times int, _row long, key long, size int"
+    rest = ("en", "a", 0, "x", 1, 1, 1, 1, 1)
+    long = words(random.Random(54), 6000)
+    rows = [(1, None), (1, ""), (None, long), (None, long), (2, long), (2, "x token=abcdef1234567890 y"), (2, "x token=abcdef1234567890 y"), (None, None)]
+    frame = spark.createDataFrame([(i, t, *rest) for i, t in rows] + [(7, "one two", None, None, None, None, None, None, None, None, None)], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, sf)
+        empty = stage(spark, frame.limit(0), sf)
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        assert name == "packing" or out.columns == frame.columns, name
+    one = corpus_pipeline.drop_near_copies(spark, frame, sf).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in one) == sorted([(0, ""), (1, ""), (1, ""), (2, long[:5]), (2, "x tok"), (7, "one t")])
+    masked = corpus_pipeline.mask_secrets(spark, frame, sf).collect()
+    assert len(masked) == len(rows) + 1 and sum("[SECRET]" in (r.text or "") for r in masked) == 2
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in masked)
+    mixed = corpus_pipeline.mix_sources(spark, frame, sf).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) <= 1.5 * sum(len((t or "").split()) for _, t in rows) + 3
+    assert max(collections.Counter((r.doc_id, r.text) for r in mixed).values()) <= 4
+    packed = corpus_pipeline.pack_sequences(spark, frame, sf).toPandas()
+    assert (packed.groupby("sequence_id").length.sum() <= 4096).all() and len(packed[packed.start == 0]) == len(rows) + 1
+
+
+def test_pipeline_keeps_the_first_of_each_group(spark):
+    import corpus_pipeline
+
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    texts = [r.text for r in frame.orderBy("doc_id").collect()]
+    root, _ = components(texts, 5, 8, 10)
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "").orderBy("doc_id").collect()
+    assert [r.text for r in kept] == [t for i, t in enumerate(texts) if root[i] == i]
