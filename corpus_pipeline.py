@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import jaccard, mixing, packing, quality, secrets
-from winnow.llm.common import materialise, table
+from winnow.llm.common import discard, materialise, table
 from winnow.llm.queries import tokenizer_path
 
 
@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of each row's own, written so that it stays."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """docs, its columns in a struct, with _row, a number of each row's own, written so that it stays."""
+    return materialise(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows with one doc_id that are in one group one stays.
     """
     rows = numbered(docs)
-    found = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=8, den=10).select(F.col("doc_id").alias("_id"), "component_id")
+    found = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), n=5, num=8, den=10).select(F.col("doc_id").alias("_id"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))["_row"].alias("_id")
-    kept = rows.select("doc_id", "_row").join(found, F.col("_row") == F.col("_id")).groupBy("component_id").agg(first)
-    return rows.join(kept.select("_id"), F.col("_row") == F.col("_id"), "left_semi").select(docs.columns)
+    kept = rows.select("_doc.doc_id", "_row").join(found, F.col("_row") == F.col("_id")).groupBy("component_id").agg(first)
+    return rows.join(kept.select("_id"), F.col("_row") == F.col("_id"), "left_semi").select("_doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: a row for each time."""
     rows = numbered(docs)
-    taken = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
+    taken = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "_doc.source", "_doc.text")).where("taken > 0")
     taken = taken.select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     many = rows.join(taken, F.col("_row") == F.col("_id"))
-    return many.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    return many.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +71,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
     return docs
