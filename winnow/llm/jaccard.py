@@ -482,7 +482,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     shared = [F.min(F.struct(F.xxhash64("key", F.lit(i)), F.col("key")))["key"].alias(f"s{i}") for i in range(SHARED)]
     # dealt anew, so that a large block can be split where the two are joined
     found = blocked.groupBy(F.col("block").alias("_block")).agg(F.count("*").alias("classes"), F.sum("n").alias("_own"), F.array(*shared).alias("shared"))
-    found = found.withColumn("chunks", _chunks(F.col("classes"), F.col("_own"), chunk)).drop("_own").repartition("classes")
+    found = found.withColumn("chunks", _chunks(F.col("classes"), F.col("_own"), chunk)).drop("_own").repartition(F.xxhash64("_block"))
     rows = materialise(blocked.join(found, F.col("block") == F.col("_block")).drop("_block"), "chunked")
     discard(blocked)
     own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
