@@ -9,94 +9,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Limits of rendered parts, in characters.
+# Limits of rendered parts, in characters, and blocks whose text is shown.
 INPUT_LIMIT, TEXT_INPUT_LIMIT, QUERY_LIMIT = 500, 1000, 4000
+PLAIN_BLOCKS = ("text", "output_text", "input_text")
 # End of fixed values.
 
 
-def _cut(text: str, most: int) -> str:
-    return text if len(text) <= most else text[:most] + "..."
+def _inputs(given: object) -> list[str]:
+    """What a tool was given: a line for each name, values as Python prints them."""
+    if isinstance(given, str):
+        return [given[:TEXT_INPUT_LIMIT]]
+    shown = {k: str(v) for k, v in given.items()} if isinstance(given, dict) else {}
+    return [f"  {k}: {v[:INPUT_LIMIT]}{'...' * (len(v) > INPUT_LIMIT)}" for k, v in shown.items()]
 
 
-def _object(raw: str | None) -> dict:
-    try:
-        found = json.loads(raw or "")
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
+#: The lines that a block of a message gives, by its type; other types give none.
+_SHOWN = {
+    "text": lambda b: [str(b.get("text", ""))],
+    "thinking": lambda b: [str(b.get("thinking", ""))],
+    "tool_use": lambda b: [f"[tool_use: {b.get('name', '')}]", *_inputs(b.get("input", {}))],
+    "tool_result": lambda b: _results(b.get("content", "")),
+}
 
 
-def _blocks_record(raw: str | None) -> str:
-    message = _object(raw).get("message")
-    content = message.get("content", "") if isinstance(message, dict) else ""
+def _results(content: object) -> list[str]:
+    if isinstance(content, str):
+        return [content]
+    blocks = content if isinstance(content, list) else []
+    return [str(b.get("text", "")) for b in blocks if isinstance(b, dict) and b.get("type") == "text"]
+
+
+def _message(raw: str | None) -> str:
+    try:
+        content = json.loads(raw or "")["message"]["content"]
+    except (ValueError, KeyError, TypeError):
+        return ""
     if isinstance(content, str):
         return content
-    parts = []
-    for block in content if isinstance(content, list) else []:
-        if not isinstance(block, dict):
-            continue
-        kind = block.get("type", "")
-        if kind in ("text", "thinking"):
-            parts.append(str(block.get(kind, "")))
-        elif kind == "tool_use":
-            parts.append(f"[tool_use: {block.get('name', '')}]")
-            given = block.get("input", {})
-            if isinstance(given, dict):
-                parts += [f"  {k}: {_cut(str(v), INPUT_LIMIT)}" for k, v in given.items()]
-            elif isinstance(given, str):
-                parts.append(given[:TEXT_INPUT_LIMIT])
-        elif kind == "tool_result":
-            inner = block.get("content", "")
-            if isinstance(inner, str):
-                parts.append(inner)
-            elif isinstance(inner, list):
-                parts += [str(x.get("text", "")) for x in inner if isinstance(x, dict) and x.get("type") == "text"]
-    return "\n".join(parts)
-
-
-def _rollout_record(raw: str | None) -> str:
-    whole = _object(raw)
-    kind, p = whole.get("type", ""), whole.get("payload", whole)
-    p = p if isinstance(p, dict) else {}
-    parts: list[str] = []
-    if kind == "compacted":
-        parts.append(p.get("message"))
-    elif kind == "turn_context":
-        parts.append(p.get("user_instructions"))
-    else:
-        what = p.get("type", "")
-        content = p.get("content")
-        if what == "function_call":
-            parts += [f"[function_call: {p.get('name', '')}]", _cut(str(p.get("arguments") or ""), INPUT_LIMIT)]
-        elif what == "function_call_output":
-            parts.append(_cut(str(p.get("output") or ""), TEXT_INPUT_LIMIT))
-        elif isinstance(content, str):
-            parts.append(content)
-        for block in content if isinstance(content, list) else []:
-            if isinstance(block, str):
-                parts.append(block)
-            elif isinstance(block, dict) and block.get("type") in ("text", "output_text", "input_text", "refusal", "reasoning_text"):
-                parts.append(block.get("text") or block.get("refusal"))
-        parts += [x.get("text") for x in p.get("summary") or [] if isinstance(x, dict)] if isinstance(p.get("summary"), list) else []
-        if isinstance(p.get("text"), str) and p["text"] not in parts:
-            parts.append(p["text"])
-    return "\n".join(x for x in parts if isinstance(x, str) and x)
+    blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
+    return "\n".join(line for b in blocks for line in _SHOWN.get(str(b.get("type")), lambda _: [])(b))
 
 
 @F.pandas_udf(StringType())
 def blocks_text(raw: pd.Series) -> pd.Series:
     """Text of a record of the block format. Values of tool inputs are rendered as Python prints them, hence Arrow."""
-    return raw.map(_blocks_record)
+    return raw.map(_message)
 
 
-@F.pandas_udf(StringType())
-def rollout_text(raw: pd.Series) -> pd.Series:
-    """Text of a record of the rollout format."""
-    return raw.map(_rollout_record)
+def _cut_to(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def rollout_text(raw: Column | str) -> Column:
+    """Text of a record of the rollout format, or null if it has none: a column expression over the parsed record."""
+    record = F.try_parse_json(raw)
+    body = F.coalesce(F.try_variant_get(record, "$.payload", "variant"), record)
+
+    def said(v: Column, path: str) -> Column:
+        """What is a string there; numbers and objects are none."""
+        found = F.try_variant_get(v, path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
+
+    def filled(v: Column, path: str) -> Column:
+        return F.nullif(said(v, path), F.lit(""))
+
+    def each(path: str, of) -> Column:
+        items = F.try_variant_get(body, path, "array<variant>")
+        return F.coalesce(F.transform(items, of), F.array().cast("array<string>"))
+
+    def block(v: Column) -> Column:
+        kind = said(v, "$.type")
+        known = F.when(kind.isin(*PLAIN_BLOCKS), filled(v, "$.text")).when(kind == "refusal", filled(v, "$.refusal"))
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(known)
+
+    what = F.coalesce(said(body, "$.type"), F.lit(""))
+    call = F.array(F.concat(F.lit("[function_call: "), F.coalesce(said(body, "$.name"), F.lit("")), F.lit("]")), _cut_to(filled(body, "$.arguments"), INPUT_LIMIT))
+    thought = each("$.content", lambda v: F.when(said(v, "$.type") == "reasoning_text", filled(v, "$.text")))
+    item = (
+        F.when(what == "message", F.concat(F.array(said(body, "$.content")), each("$.content", block)))
+        .when(what == "function_call", call)
+        .when(what == "function_call_output", F.array(_cut_to(said(body, "$.output"), TEXT_INPUT_LIMIT)))
+        .when(what == "reasoning", F.concat(thought, each("$.summary", lambda v: filled(v, "$.text"))))
+        .otherwise(F.array(filled(body, "$.text")))
+    )
+    kind = F.coalesce(F.try_variant_get(record, "$.type", "string"), F.lit(""))
+    parts = F.when(kind == "compacted", F.array(filled(body, "$.message"))).when(kind == "turn_context", F.array(filled(body, "$.user_instructions"))).when(kind == "response_item", item)
+    parts = F.filter(parts, lambda x: x.isNotNull())
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
 
 
 def token_count(text: Column) -> Column:
-    """A token for each four characters, rounded up: stands in for a tokenizer, which `tokens` of a caller may replace."""
+    """A token for each four characters, rounded up: stands in for a tokenizer. Callers that have one set the column `tokens` of their turns instead."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.entities import explode_entities, weight
+from winnow.operators.turns import spread
 
 
 def joined_text(turns: DataFrame) -> DataFrame:
     """conv_id, text: the turns' texts in order, joined by line feeds, as entities may reach across the joint."""
     rows = F.array_sort(F.collect_list(F.struct("turn_index", "text")))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+    return spread(turns, "conv_id").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
 
 
 def covered(suffix: DataFrame, kept: DataFrame) -> DataFrame:
     """conv_id, etype, value, hit: the entities of the suffix's system turns, and whether the kept turns hold them."""
-    needed = explode_entities(joined_text(suffix.where("kind = 'system'")), ["conv_id"])
+    return covered_of(explode_entities(joined_text(suffix.where("kind = 'system'")), ["conv_id"]), kept)
+
+
+def covered_of(needed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The same of entities (conv_id, etype, value) that are at hand."""
     held = explode_entities(joined_text(kept), ["conv_id"]).select(*[F.col(c).alias(f"_{c}") for c in ("conv_id", "etype", "value")], F.lit(True).alias("_hit"))
     same = (F.col("conv_id") == F.col("_conv_id")) & (F.col("etype") == F.col("_etype")) & (F.col("value") == F.col("_value"))
     return needed.join(held, same, "left").select("conv_id", "etype", "value", F.coalesce("_hit", F.lit(False)).alias("hit"))

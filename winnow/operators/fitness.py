@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.operators.coverage import harmonic
+
 # What counts as a term.
 PATH_TERM, WORD_TERM = r"(?:[./~])?(?:/[\w.\-]+){2,}", r"[a-zA-Z_][a-zA-Z0-9_./\-]{3,}"
 # End of fixed values.
@@ -36,3 +38,14 @@ def recall(relevances: DataFrame, kept: DataFrame) -> DataFrame:
     rows = relevances.join(flags, (F.col("conv_id") == F.col("_c")) & (F.col("turn_index") == F.col("_t")), "left")
     total, held = F.sum("relevance"), F.sum(F.when(F.col("_c").isNotNull(), F.col("relevance")).otherwise(0.0))
     return rows.groupBy("conv_id").agg(F.when(total > 0, held / total).otherwise(1.0).alias("recall"))
+
+
+def evaluated(relevances: DataFrame, selected: DataFrame) -> DataFrame:
+    """conv_id, recall, compression, f1, kept_tokens, total_tokens, scored_count, kept_scored of a selection."""
+    sums = selected.groupBy(F.col("conv_id").alias("_s")).agg(
+        F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0)).cast("long").alias("kept_tokens"), F.sum("tokens").cast("long").alias("total_tokens"),
+        F.count_if(F.col("score").isNotNull()).alias("scored_count"), F.count_if(F.col("kept") & F.col("score").isNotNull()).alias("kept_scored"),
+    )
+    rows = recall(relevances, selected).join(sums, F.col("conv_id") == F.col("_s"))
+    rows = rows.withColumn("compression", F.when(F.col("total_tokens") > 0, F.col("kept_tokens") / F.col("total_tokens")).otherwise(0.0))
+    return rows.select("conv_id", "recall", "compression", harmonic(F.col("recall"), 1 - F.col("compression")).alias("f1"), "kept_tokens", "total_tokens", "scored_count", "kept_scored")

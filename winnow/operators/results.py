@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from winnow.functions.entities import weight
 
-# The budget and the seconds that stand in where a merged result has no speed.
+# The budget and the seconds that stand in where a merged result has no speed, the counts of the earlier
+# results, and what recalls are called.
 SPEED_BUDGET, SPEED_DEFAULT = 2000, 1.2
+EARLY_KEPT, EARLY_TOTAL = 7144, 81696
+RECALL_BUDGET, RECALL_KEY, RECALL_LABEL = 20000, "recall_only", "TF-IDF (no composite)"
 # End of fixed values.
 
 
@@ -24,14 +27,21 @@ def pareto(points: DataFrame, x: str, y: str, order: str, keys: list[str] | None
     return points.withColumn("_best", F.max(y).over(w)).where(F.col("_best").isNull() | (F.col(y) > F.col("_best"))).drop("_best")
 
 
-def merge(sources: list[DataFrame], speeds: DataFrame, without: str) -> DataFrame:
-    """All sources' rows but those of method `without`; a missing speed is looked up by (method, SPEED_BUDGET)."""
-    rows = sources[0]
-    for s in sources[1:]:
-        rows = rows.unionByName(s, allowMissingColumns=True)
-    known = speeds.where(F.col("budget") == SPEED_BUDGET).select(F.col("method").alias("_m"), F.col("speed_s").alias("_s"))
-    rows = rows.where(F.col("method") != without).join(known, F.col("method") == F.col("_m"), "left")
-    return rows.withColumn("speed_s", F.coalesce("speed_s", "_s", F.lit(SPEED_DEFAULT))).drop("_m", "_s")
+def merge(judged: DataFrame, early: DataFrame, recalls: DataFrame, without: str) -> DataFrame:
+    """One table of three: judged results but those of method `without`; earlier judged ones, which have neither speed nor
+    counts of their own, with the speed that `recalls` has for the method at SPEED_BUDGET; and the recalls at RECALL_BUDGET.
+
+    method, budget, model_key, model_label, composite (null for recalls), recall (null for the others), speed_s,
+    kept_tokens, total_tokens. Of several speeds of a method the last by `ord` counts.
+    """
+    own = ["method", "budget", "model_key", "model_label", "composite"]
+    none = F.lit(None).cast("double")
+    known = recalls.where(F.col("budget") == SPEED_BUDGET).groupBy(F.col("method").alias("_m")).agg(F.max_by("speed_s", "ord").alias("_s"))
+    first = judged.where(F.col("method") != without).select(*own, none.alias("recall"), "speed_s", "kept_tokens", "total_tokens")
+    second = early.join(known, F.col("method") == F.col("_m"), "left")
+    second = second.select(*own, none.alias("recall"), F.coalesce("_s", F.lit(SPEED_DEFAULT)).alias("speed_s"), F.lit(EARLY_KEPT).cast("long").alias("kept_tokens"), F.lit(EARLY_TOTAL).cast("long").alias("total_tokens"))
+    third = recalls.where(F.col("budget") == RECALL_BUDGET).select("method", "budget", F.lit(RECALL_KEY).alias("model_key"), F.lit(RECALL_LABEL).alias("model_label"), none.alias("composite"), "recall", "speed_s", "kept_tokens", "total_tokens")
+    return first.unionByName(second).unionByName(third)
 
 
 def grid(methods: list[str], budgets: list[int], conversations: DataFrame) -> DataFrame:

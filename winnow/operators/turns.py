@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session shuffles to. Texts are long for their compressed size, by which
+    Spark would put many of these tasks together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def islands(records: DataFrame, order: str, new: Column) -> DataFrame:
     """Adds turn_index, from 0, which grows by one where `new` is true; the first record of a conversation is new."""
     line = Window.partitionBy("conv_id").orderBy(order)
@@ -15,6 +21,7 @@ def islands(records: DataFrame, order: str, new: Column) -> DataFrame:
 
 def group_blocks(records: DataFrame) -> DataFrame:
     """records (conv_id, line_no, is_user): each user record is a turn, each run of others one system turn."""
+    records = spread(records, "conv_id")
     before = F.lag("is_user").over(Window.partitionBy("conv_id").orderBy("line_no"))
     return islands(records, "line_no", F.col("is_user") | before).withColumn("kind", F.when(F.col("is_user"), "user").otherwise("system"))
 
@@ -25,7 +32,7 @@ def group_rollout(records: DataFrame) -> DataFrame:
     A compacted record is a turn; a context record starts a user turn; a user record joins a user turn that stands right
     before it; system records run on.
     """
-    kept = records.where(F.col("class").isin("compacted", "context", "user", "system"))
+    kept = spread(records.where(F.col("class").isin("compacted", "context", "user", "system")), "conv_id")
     before = F.lag("class").over(Window.partitionBy("conv_id").orderBy("line_no"))
     c = F.col("class")
     new = c.isin("compacted", "context") | ((c == "user") & ~before.isin("context", "user")) | ((c == "system") & (before != "system"))

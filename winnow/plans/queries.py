@@ -16,8 +16,10 @@ from winnow.operators import results as R
 from winnow.operators import scorers as S
 from winnow.operators import turns as T
 from winnow.operators.selection import select_turns
-from winnow.plans.compact import evaluate
+from winnow.plans.compact import Evaluation, evaluate
+from winnow.sources import sessions as N
 from winnow.sources import sinks as K
+from winnow.sources.scratch import new_path
 from winnow.streaming.watcher import events as compaction_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +128,7 @@ _SQL_SELECT = f""", marked AS (
     SELECT m.*, m.forced OR coalesce(w.taken, false) AS kept, CASE WHEN m.tier = 'user' THEN 'user' WHEN m.tier = 'short' THEN 'short' WHEN m.forced THEN 'last' WHEN w.taken THEN 'fits' ELSE 'dropped' END AS reason
     FROM marked m LEFT JOIN walk w ON w.conv_id = m.conv_id AND w.turn_index = m.turn_index AND w.rank > 0
 )"""
+_SQL_SETCOVER = "CASE WHEN long_tf <= 2 THEN 1.2 ELSE 1.0 END"
 _SQL_EITF = _SQL_TURNS + _SQL_TF + _sql_scores("1.0")
 _SQL_SELECTION = (_SQL_EITF + _SQL_SELECT).replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -251,7 +254,7 @@ def eitf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.eitf(transcript(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(_SQL_TURNS + _SQL_TF + _sql_scores("CASE WHEN long_tf <= 2 THEN 1.2 ELSE 1.0 END") + " SELECT conv_id, turn_index, round(score, 6) AS score, tokens FROM scores")
+@query(_SQL_TURNS + _SQL_TF + _sql_scores(_SQL_SETCOVER) + " SELECT conv_id, turn_index, round(score, 6) AS score, tokens FROM scores")
 def setcover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.setcover(transcript(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -308,20 +311,25 @@ def score_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
-_SQL_EVAL = (
-    (_SQL_TURNS.replace("), turns AS (", "), all_turns AS (") + _SQL_SPLIT.replace("FROM turns)", "FROM all_turns)").replace("FROM turns t", "FROM all_turns t")
-     + ", turns AS (SELECT * EXCLUDE (part) FROM parts WHERE part = 'prefix')" + _SQL_TF + _sql_scores("1.0") + _SQL_SELECT).replace("WITH ", "WITH RECURSIVE ", 1)
-    + ", needed_text AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn_index) AS text FROM parts WHERE part = 'suffix' AND kind = 'system' GROUP BY conv_id)"
-    + ", held_text AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn_index) AS text FROM selection WHERE kept GROUP BY conv_id)"
-    + f", needed AS ({_sql_entities('needed_text', 'conv_id')}), held AS ({_sql_entities('held_text', 'conv_id')})"
-    + ", hits AS (SELECT n.*, h.conv_id IS NOT NULL AS hit FROM needed n LEFT JOIN held h USING (conv_id, etype, value))"
-    + f", types AS (SELECT conv_id, etype, count(*) FILTER (hit) AS covered, count(*) AS total, {_SQL_WEIGHT} AS weight FROM hits GROUP BY conv_id, etype)"
-    + """, sums AS (SELECT conv_id, sum(tokens) AS total_tokens, sum(tokens) FILTER (kept) AS kept_tokens FROM selection GROUP BY conv_id),
-    cov AS (SELECT s.conv_id, CAST(total_tokens AS BIGINT) AS total_tokens, CAST(kept_tokens AS BIGINT) AS kept_tokens, CAST(coalesce(sum(covered), 0) AS BIGINT) AS covered_count,
-        CAST(coalesce(sum(total), 0) AS BIGINT) AS suffix_entity_count, coalesce(sum(covered) / sum(total), 1) AS coverage, coalesce(sum(weight * covered) / sum(weight * total), 1) AS weighted_coverage,
-        kept_tokens / total_tokens AS compression FROM sums s LEFT JOIN types USING (conv_id) GROUP BY s.conv_id, total_tokens, kept_tokens),
-    final AS (SELECT *, CASE WHEN weighted_coverage + 1 - compression > 0 THEN 2 * weighted_coverage * (1 - compression) / (weighted_coverage + 1 - compression) ELSE 0 END AS f1 FROM cov)"""
-)
+def _sql_eval(factor: str) -> str:
+    """What a method whose factor is given covers."""
+    return (
+        (_SQL_TURNS.replace("), turns AS (", "), all_turns AS (") + _SQL_SPLIT.replace("FROM turns)", "FROM all_turns)").replace("FROM turns t", "FROM all_turns t")
+         + ", turns AS (SELECT * EXCLUDE (part) FROM parts WHERE part = 'prefix')" + _SQL_TF + _sql_scores(factor) + _SQL_SELECT).replace("WITH ", "WITH RECURSIVE ", 1)
+        + ", needed_text AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn_index) AS text FROM parts WHERE part = 'suffix' AND kind = 'system' GROUP BY conv_id)"
+        + ", held_text AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn_index) AS text FROM selection WHERE kept GROUP BY conv_id)"
+        + f", needed AS ({_sql_entities('needed_text', 'conv_id')}), held AS ({_sql_entities('held_text', 'conv_id')})"
+        + ", hits AS (SELECT n.*, h.conv_id IS NOT NULL AS hit FROM needed n LEFT JOIN held h USING (conv_id, etype, value))"
+        + f", types AS (SELECT conv_id, etype, count(*) FILTER (hit) AS covered, count(*) AS total, {_SQL_WEIGHT} AS weight FROM hits GROUP BY conv_id, etype)"
+        + """, sums AS (SELECT conv_id, sum(tokens) AS total_tokens, sum(tokens) FILTER (kept) AS kept_tokens FROM selection GROUP BY conv_id),
+        cov AS (SELECT s.conv_id, CAST(total_tokens AS BIGINT) AS total_tokens, CAST(kept_tokens AS BIGINT) AS kept_tokens, CAST(coalesce(sum(covered), 0) AS BIGINT) AS covered_count,
+            CAST(coalesce(sum(total), 0) AS BIGINT) AS suffix_entity_count, coalesce(sum(covered) / sum(total), 1) AS coverage, coalesce(sum(weight * covered) / sum(weight * total), 1) AS weighted_coverage,
+            kept_tokens / total_tokens AS compression FROM sums s LEFT JOIN types USING (conv_id) GROUP BY s.conv_id, total_tokens, kept_tokens),
+        final AS (SELECT *, CASE WHEN weighted_coverage + 1 - compression > 0 THEN 2 * weighted_coverage * (1 - compression) / (weighted_coverage + 1 - compression) ELSE 0 END AS f1 FROM cov)"""
+    )
+
+
+_SQL_EVAL = _sql_eval("1.0")
 
 
 def _prefix_selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -341,16 +349,37 @@ _MEASURES = ("coverage", "weighted_coverage", "compression", "f1")
 
 @query(_SQL_EVAL + " SELECT 'eitf' AS method, conv_id, total_tokens, kept_tokens, covered_count, suffix_entity_count, round(coverage, 6) AS coverage, round(weighted_coverage, 6) AS weighted_coverage, round(compression, 6) AS compression, round(f1, 6) AS f1 FROM final")
 def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate(transcript(spark, sf_dir), ["eitf"], BUDGET, THRESHOLD)
+    return _coverage(spark, sf_dir, "eitf")
+
+
+def _coverage(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    rows = _evaluated(spark, sf_dir, method).entities()
     return rows.select("method", "conv_id", "total_tokens", "kept_tokens", "covered_count", "suffix_entity_count", *[F.round(m, 6).alias(m) for m in _MEASURES])
 
 
+def _evaluated(spark: SparkSession, sf_dir: str, *methods: str) -> Evaluation:
+    return evaluate(transcript(spark, sf_dir), list(methods), new_path(spark, "evaluation"), budget=BUDGET, threshold=THRESHOLD)
+
+
+@query(_sql_eval(_SQL_SETCOVER) + " SELECT 'setcover' AS method, conv_id, total_tokens, kept_tokens, covered_count, suffix_entity_count, round(coverage, 6) AS coverage, round(weighted_coverage, 6) AS weighted_coverage, round(compression, 6) AS compression, round(f1, 6) AS f1 FROM final")
+def entity_coverage_setcover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir, "setcover")
+
+
 @query(_SQL_EVAL + " SELECT unnest(['coverage', 'weighted_coverage', 'compression', 'f1']) AS metric, round(unnest([avg(coverage), avg(weighted_coverage), avg(compression), avg(f1)]), 6) AS eitf FROM final")
 def method_report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate(transcript(spark, sf_dir), ["eitf"], BUDGET, THRESHOLD)
+    rows = _evaluated(spark, sf_dir, "eitf").entities()
     return C.report(rows, list(_MEASURES), ["eitf"]).withColumn("eitf", F.round("eitf", 6))
 
 
+@query(_SQL_EVAL + """, m AS (SELECT 0 AS b, CAST(weight AS DOUBLE) AS weight, etype AS metric, avg(covered / total) AS eitf FROM types GROUP BY etype, weight
+    UNION ALL SELECT 1, 0, unnest(['coverage', 'weighted_coverage', 'compression', 'f1', 'suffix_entity_count', 'covered_count', 'kept_tokens', 'total_tokens']),
+        unnest([avg(coverage), avg(weighted_coverage), avg(compression), avg(f1), avg(suffix_entity_count), avg(covered_count), avg(kept_tokens), avg(total_tokens)]) FROM final)
+    SELECT weight, metric, round(eitf, 5) AS eitf FROM m""")
+def method_report_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, "eitf").report().where("metric <> 'speed_s'").withColumn("eitf", F.round("eitf", 5))
+
+
 _PROBES = """SELECT conv_id, turn AS probe_ord, CASE turn % 5 WHEN 0 THEN 'error_solution' WHEN 1 THEN 'instruction' WHEN 2 THEN 'progress' WHEN 3 THEN 'environment' ELSE 'other' END AS dimension,
     CASE turn % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'odd' END AS difficulty, CASE WHEN turn = 7 THEN {none} ELSE {some} END AS evidence_turns FROM conversations"""
 _KEPT = "SELECT conv_id, {agg} AS kept_turns FROM conversations WHERE (turn + conv_id) % 3 <> 0 GROUP BY conv_id"
@@ -396,11 +425,12 @@ def dropped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANSWERS = """SELECT conv_id, turn AS probe_ord, CASE WHEN turn % 2 = 0 THEN 'capable' ELSE 'cheap' END AS model_key, CASE WHEN turn % 2 = 0 THEN 'large' ELSE 'small' END AS model_label,
-    CAST((conv_id + turn) % 6 - 1 AS INT) AS score, conv_id * 100 + turn AS ord FROM conversations"""
+    CAST((conv_id + turn) % 6 - 1 AS INT) AS score, conv_id * 100 + turn AS ord, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'eitf' ELSE 'dedup' END AS method FROM conversations"""
 _SQL_JUDGED = _SQL_PROBES + f""", {_SQL_DIMS}, answers AS ({_ANSWERS}), j AS (SELECT a.*, p.dimension, p.difficulty, least(3, greatest(0, a.score)) AS s FROM answers a JOIN probes p USING (conv_id, probe_ord)),
-    comp AS (SELECT model_key, sum(weight * mean) AS composite FROM (SELECT model_key, dimension, avg(s / 3) AS mean FROM j GROUP BY ALL) JOIN dims USING (dimension) GROUP BY model_key),
-    r AS (SELECT j.*, {_SQL_NDCG} AS w, row_number() OVER (PARTITION BY model_key ORDER BY {_SQL_NDCG} DESC, coalesce(nth, 0), probe_ord, conv_id) AS i FROM j LEFT JOIN dims USING (dimension)),
-    agg AS (SELECT model_key, arg_min(model_label, ord) AS model_label, count(*) AS n_answers FROM j GROUP BY model_key)"""
+    comp AS (SELECT method, model_key, sum(weight * mean) AS composite FROM (SELECT method, model_key, dimension, avg(s / 3) AS mean FROM j GROUP BY ALL) JOIN dims USING (dimension) GROUP BY ALL),
+    r AS (SELECT j.*, {_SQL_NDCG} AS w, row_number() OVER (PARTITION BY method, model_key, conv_id ORDER BY {_SQL_NDCG} DESC, coalesce(nth, 0), probe_ord) AS i FROM j LEFT JOIN dims USING (dimension)),
+    gains AS (SELECT method, model_key, avg(g) AS ndcg FROM (SELECT method, model_key, conv_id, sum(w / log2(i + 1) * s) / sum(w / log2(i + 1) * 3) AS g FROM r GROUP BY ALL) GROUP BY ALL),
+    agg AS (SELECT method, model_key, arg_min(model_label, ord) AS model_label, count(*) AS n_answers FROM j GROUP BY ALL)"""
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,20 +439,33 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.judged(spark.sql(_ANSWERS.replace("FROM conversations", "FROM {t}"), t=conversations), probes)
 
 
-@query(_SQL_JUDGED + " SELECT model_key, model_label, n_answers, round(composite, 6) AS composite FROM agg JOIN comp USING (model_key)")
+@query(_SQL_JUDGED + " SELECT method, model_key, model_label, n_answers, round(composite, 6) AS composite, round(ndcg, 6) AS ndcg FROM agg JOIN comp USING (method, model_key) JOIN gains USING (method, model_key)")
 def judge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.judge_aggregate(_judged(spark, sf_dir)).select("model_key", "model_label", "n_answers", F.round("composite", 6).alias("composite"))
+    return V.judge_aggregate(_judged(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("composite", "ndcg")})
 
 
-@query(_SQL_JUDGED + ", g AS (SELECT max(composite) FILTER (model_key = 'capable') - max(composite) FILTER (model_key = 'cheap') AS gap FROM comp) SELECT round(gap, 6) AS gap, CASE WHEN gap > 0.1 THEN 'context lacks detail' WHEN gap < 0.02 THEN 'similar' ELSE 'moderate' END AS insight FROM g")
+@query(_SQL_JUDGED + ", g AS (SELECT method, max(composite) FILTER (model_key = 'capable') - max(composite) FILTER (model_key = 'cheap') AS gap FROM comp GROUP BY method) SELECT method, round(gap, 6) AS gap, CASE WHEN gap > 0.1 THEN 'context lacks detail' WHEN gap < 0.02 THEN 'similar' ELSE 'moderate' END AS insight FROM g")
 def model_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.model_gap(V.judge_aggregate(_judged(spark, sf_dir))).withColumn("gap", F.round("gap", 6))
 
 
-@query("SELECT conv_id, turn AS turn_index FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s <= 1500")
+_SQL_SHOWN = """WITH e AS (SELECT conv_id, turn, '--- Turn ' || turn || ' (' || role || ') ---' || chr(10) || coalesce(text, '') || chr(10) AS entry FROM conversations),
+    s AS (SELECT *, sum(length(entry)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM e)"""
+
+
+@query(_SQL_SHOWN + " SELECT conv_id, turn AS turn_index FROM s WHERE s <= 1500")
 def prompt_prefix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").withColumnRenamed("turn", "turn_index")
-    return V.prompt_prefix(c, 1500).select("conv_id", "turn_index")
+    return V.prompt_prefix(_as_turns(spark, sf_dir), 1500).select("conv_id", "turn_index")
+
+
+def _as_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("turn_index"), F.col("role").alias("kind"), "text")
+
+
+@query(_SQL_SHOWN + """ SELECT conv_id, coalesce(string_agg(entry, chr(10) ORDER BY turn) FILTER (s <= 1500), '') || CASE WHEN count(*) > count_if(s <= 1500)
+    THEN CASE WHEN count_if(s <= 1500) > 0 THEN chr(10) ELSE '' END || chr(10) || '[...truncated at 1500 chars, ' || (count(*) - count_if(s <= 1500)) || ' turns shown...]' ELSE '' END AS transcript FROM s GROUP BY conv_id""")
+def probe_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transcript(_as_turns(spark, sf_dir), 1500)
 
 
 _SQL_TERMS = r"""SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, lower(unnest(list_concat(regexp_extract_all(text, '(?:[./~])?(?:/[\w.\-]+){{2,}}'), regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_./\-]{{3,}}')))) AS term FROM {source}) GROUP BY ALL"""
@@ -442,6 +485,17 @@ def tfidf_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relevance(spark, sf_dir).withColumn("relevance", F.round("relevance", 5))
 
 
+@query(_SQL_REL + """, t AS (SELECT conv_id, sum(ceil(length(text) / 4.0)) AS total_tokens, coalesce(sum(ceil(length(text) / 4.0)) FILTER (turn_index % 4 = 1), 0) AS kept_tokens FROM parts WHERE part = 'prefix' GROUP BY conv_id),
+    c AS (SELECT conv_id, CASE WHEN sum(relevance) > 0 THEN coalesce(sum(relevance) FILTER (turn_index % 4 = 1), 0) / sum(relevance) ELSE 1 END AS recall FROM rel GROUP BY conv_id)
+    SELECT conv_id, round(recall, 6) AS recall, round(CASE WHEN recall + 1 - kept_tokens / total_tokens > 0 THEN 2 * recall * (1 - kept_tokens / total_tokens) / (recall + 1 - kept_tokens / total_tokens) ELSE 0 END, 6) AS f1,
+    CAST(kept_tokens AS BIGINT) AS kept_tokens, CAST(total_tokens AS BIGINT) AS total_tokens FROM c JOIN t USING (conv_id)""")
+def fitness_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = X.holdout(chat_turns(spark, sf_dir)).where("part = 'prefix'")
+    selected = prefix.withColumns({"kept": F.col("turn_index") % 4 == 1, "score": F.lit(None).cast("double")})
+    rows = I.evaluated(_relevance(spark, sf_dir), selected)
+    return rows.select("conv_id", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), "kept_tokens", "total_tokens")
+
+
 @query(_SQL_REL + " SELECT conv_id, round(CASE WHEN sum(relevance) > 0 THEN coalesce(sum(relevance) FILTER (turn_index % 4 = 1), 0) / sum(relevance) ELSE 1 END, 6) AS recall FROM rel GROUP BY conv_id")
 def fitness_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = _relevance(spark, sf_dir)
@@ -463,14 +517,17 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pareto(read(spark, sf_dir, "events"), "user_id", "value", "event_id", ["event_type"]).select("event_type", "event_id", "value")
 
 
-@query("""WITH u AS (SELECT event_type AS method, event_id AS id, CASE WHEN event_id % 2 = 0 THEN value END AS speed_s FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_type, event_id, NULL FROM events WHERE event_id % 3 = 1),
-    s AS (SELECT event_type AS method, min(value) AS v FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT method, id, coalesce(speed_s, v, 1.2) AS speed_s FROM u LEFT JOIN s USING (method) WHERE method <> 'error'""")
+_RESULTS = """SELECT event_type AS method, CASE WHEN event_id % 2 = 0 THEN 2000 ELSE 20000 END AS budget, CASE WHEN event_id % 5 < 3 THEN 'capable' ELSE 'cheap' END AS model_key, 'm' AS model_label,
+    value / 100 AS composite, value / 200 AS recall, value AS speed_s, event_id AS kept_tokens, 2 * event_id AS total_tokens, event_id AS ord, event_id % 3 AS source FROM events"""
+
+
+@query(f"""WITH r AS ({_RESULTS}), s AS (SELECT method, arg_max(speed_s, ord) AS v FROM r WHERE source = 2 AND budget = 2000 AND method <> 'view' GROUP BY 1)
+    SELECT method, budget, model_key, model_label, composite, CAST(NULL AS DOUBLE) AS recall, speed_s, kept_tokens, total_tokens FROM r WHERE source = 0 AND method <> 'error'
+    UNION ALL SELECT method, budget, model_key, model_label, composite, NULL, coalesce(v, 1.2), 7144, 81696 FROM r LEFT JOIN s USING (method) WHERE source = 1
+    UNION ALL SELECT method, budget, 'recall_only', 'TF-IDF (no composite)', NULL, recall, speed_s, kept_tokens, total_tokens FROM r WHERE source = 2 AND budget = 20000 AND method <> 'view'""")
 def results_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    a = e.where("event_id % 3 = 0").select(F.col("event_type").alias("method"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("speed_s"))
-    b = e.where("event_id % 3 = 1").select(F.col("event_type").alias("method"), F.col("event_id").alias("id"))
-    speeds = e.where("event_type <> 'view'").groupBy(F.col("event_type").alias("method")).agg(F.min("value").alias("speed_s")).withColumn("budget", F.lit(R.SPEED_BUDGET))
-    return R.merge([a, b], speeds, "error").select("method", "id", "speed_s")
+    rows = spark.sql(_RESULTS.replace("FROM events", "FROM {t}"), t=read(spark, sf_dir, "events"))
+    return R.merge(rows.where("source = 0"), rows.where("source = 1"), rows.where("source = 2 AND method <> 'view'"), "error")
 
 
 @query(f"""SELECT event_type AS method, CAST(user_id % 3 AS INTEGER) AS budget, etype, count(*) AS n, CASE WHEN {_SQL_WEIGHT} >= 0.8 THEN 'high' WHEN {_SQL_WEIGHT} >= 0.6 THEN 'medium' ELSE 'low' END AS band
@@ -496,4 +553,5 @@ def compaction_event_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
 def session_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
+    listing = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("path"), F.col("ts").alias("modified"))
+    return N.latest(listing, ["user_id"]).withColumnRenamed("path", "event_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.text import blocks_text, rollout_text
 from winnow.operators import turns as T
+from winnow.sources.scratch import file_system
 
 # Record types that are no part of a conversation.
 SKIPPED = {"blocks": ("progress", "file-history-snapshot", "system", "summary", "queue-operation"), "rollout": ("session_meta", "event_msg")}
@@ -68,9 +71,9 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFra
     return found.select("path", F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def latest(listing: DataFrame) -> DataFrame:
-    """The newest path."""
-    return listing.agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+def latest(listing: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The newest path, of each key if there are any."""
+    return listing.groupBy(*(keys or [])).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
 
 
 def newest(listing: DataFrame, n: int = 20, least: int = 0) -> DataFrame:
@@ -111,3 +114,33 @@ def expired_backups(listing: DataFrame, keep: int = 3) -> DataFrame:
     """Backups besides the newest `keep` of each session: (session, path, modified) -> those to remove."""
     order = Window.partitionBy("session").orderBy(F.col("modified").desc(), "path")
     return listing.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > keep).drop("_n")
+
+
+def replace(spark: SparkSession, path: str, lines: list[str], backups: str, keep: int = 3) -> str | None:
+    """Put `lines` in the place of a session's file. What stood there goes to the folder of backups first, of which the
+    `keep` newest of this session stay; readers see the old file or the new one, whole. Returns the backup's path, or None
+    if there are no lines: then nothing is touched."""
+    if not lines:
+        return None
+    jvm = spark._jvm
+    (target, fs), (store, kept) = file_system(spark, path), file_system(spark, backups)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    kept.mkdirs(store)
+    stamp = f"{fs.getFileStatus(target).getModificationTime():020d}-{uuid.uuid4().hex}"
+    backup = jvm.org.apache.hadoop.fs.Path(store, f"{target.getName()}.{stamp}.bak")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, kept, backup, False, conf)
+    temporary = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{stamp}.tmp")
+    out = fs.create(temporary)
+    out.write(bytearray(("\n".join(lines) + "\n").encode()))
+    out.close()
+    old = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{stamp}.old")
+    if not fs.rename(temporary, target):  # where a file that exists is in the way
+        fs.rename(target, old)
+        if not fs.rename(temporary, target):
+            fs.rename(old, target)
+            raise OSError(f"{path} could not be replaced; its backup is {backup}")
+        fs.delete(old, False)
+    mine = sorted(s.getPath().getName() for s in kept.listStatus(store) if s.getPath().getName().startswith(f"{target.getName()}."))
+    for name in mine[:-keep]:
+        kept.delete(jvm.org.apache.hadoop.fs.Path(store, name), False)
+    return backup.toString()

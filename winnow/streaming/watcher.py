@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnow.sources.scratch import file_system
+from winnow.sources.sessions import replace
+
 
 def is_compaction(before: Column, now: Column, last_type: Column) -> Column:
     """A session fell below half its lines, but not to two, and either says so or fell below a third."""
@@ -44,3 +48,40 @@ def on_event(stream: DataFrame, compact: Callable[[DataFrame], None], checkpoint
             compact(batch)
 
     return watch(stream).writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(run).start()
+
+
+class Snapshots:
+    """Copies of sessions from before they were compacted, a file for each below `folder`."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, session: str) -> str:
+        return f"{self.folder}/{hashlib.sha256(session.encode()).hexdigest()}.jsonl"
+
+    def take(self, session: str) -> None:
+        """Copy the session's file as it is now; a later copy takes an earlier one's place."""
+        (source, fs), (target, to) = file_system(self.spark, session), file_system(self.spark, self._path(session))
+        to.mkdirs(target.getParent())
+        self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, target, False, self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def of(self, session: str) -> str | None:
+        path, fs = file_system(self.spark, self._path(session))
+        return path.toString() if fs.exists(path) else None
+
+
+def answer_compaction(spark: SparkSession, session: str, snapshots: Snapshots, compact: Callable[[str], list[str]], backups: str) -> str:
+    """A session was compacted by its model: put our own compaction of its snapshot in its place.
+
+    Without a snapshot, or if ours fails or gives no lines, the model's output stays. Says which: "replaced", or "kept" and
+    why. Either way the file as it is then becomes the next snapshot.
+    """
+    if (before := snapshots.of(session)) is None:
+        said = "kept: no snapshot"
+    else:
+        try:
+            said = "replaced" if replace(spark, session, compact(before), backups) else "kept: nothing to write"
+        except Exception as e:
+            said = f"kept: {e}"
+    snapshots.take(session)
+    return said
