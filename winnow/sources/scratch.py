@@ -37,5 +37,9 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     """(the path, its file system) of the JVM. Local files go without the checksums that Hadoop keeps beside them: other
     programs write to sessions, too, and don't know of those."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return where, fs.getRawFileSystem() if fs.getClass().getSimpleName() == "LocalFileSystem" else fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = where.getFileSystem(conf)
+    if fs.getUri().getScheme() == "file":
+        fs = spark._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+        fs.initialize(spark._jvm.java.net.URI("file:///"), conf)
+    return where, fs
