@@ -52,9 +52,69 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     assert quality.quality(docs(spark, ["a"]).limit(0), labels).count() == 0
 
 
+def test_scores_are_those_of_the_model_that_was_trained(spark):
+    # a plain model: look up each bucket's vector, average, softmax; folded weights must give its probabilities
+    rng = random.Random(11)
+    settings = quality.Settings(bits=10, dim=4, epochs=3)
+    texts = [words(rng, rng.randint(1, 30)).encode() + b" zz" * (i % 2) for i in range(40)]
+    rows = [(*quality.featurise(t, 10), i % 2) for i, t in enumerate(texts)]
+    weights, bias = quality.fit(rows, settings)
+    draw = np.random.default_rng(settings.seed)
+    vectors, out, b = draw.uniform(-0.5, 0.5, (1024, 4)) / 4, np.zeros((4, 2)), np.zeros(2)
+    step = 0
+    for _ in range(3):
+        for i in draw.permutation(40):
+            rate = settings.rate * (1 - step / 120)
+            step += 1
+            buckets, shares, label = rows[i]
+            hidden = sum(s * vectors[k] for k, s in zip(buckets, shares, strict=True))
+            p = np.exp(hidden @ out + b) / np.exp(hidden @ out + b).sum()
+            error = p - np.eye(2)[label]
+            back = out @ error
+            for k, s in zip(buckets, shares, strict=True):
+                vectors[k] -= rate * min(1, 20 * s) * back
+            out, b = out - rate * np.outer(hidden, error), b - rate * error
+    for t in [*texts, b"", b"new words here"]:
+        found = quality.buckets_of(t, 10)
+        hidden = vectors[found].mean(axis=0) if len(found) else np.zeros(4)
+        logits = hidden @ out + b
+        assert quality._scores([t], weights, bias)[0] == pytest.approx(1 / (1 + np.exp(logits[0] - logits[1])), abs=1e-6)
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(12)
+    long = words(rng, 300_000)
+    frame = docs(spark, ["a b", "a b", long, None])
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.quality(frame.unionByName(frame), labels).orderBy("doc_id").collect()
+    assert len(rows) == 8 and all(rows[i].score == rows[i + 1].score for i in (0, 2, 4, 6)) and rows[0].score == rows[2].score
+
+
 # --- packing
 
 
+def test_sum_of_squares_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(40):
+        capacity = rng.choice([8, 20, 50])
+        sizes = [rng.randint(1, capacity) for _ in range(60)]
+        found, place = packing.sum_of_squares(np.array(sizes), capacity)
+        gaps: list[int] = []
+        for s, b, at in zip(sizes, found, place, strict=True):
+            def total(i, s=s):  # sum of squared counts of open bins per gap, if the item goes to bin i (or a new one)
+                after = [g - s if j == i else g for j, g in enumerate(gaps)] + ([capacity - s] if i == len(gaps) else [])
+                return sum(n * n for g, n in collections.Counter(after).items() if 0 < g < capacity)
+
+            options = [(total(i), i == len(gaps), g, i) for i, g in enumerate([*gaps, capacity]) if g >= s]
+            best = min(x[:3] for x in options)
+            own = gaps[b] if b < len(gaps) else capacity
+            assert (total(int(b)), b == len(gaps), own) == best and at == capacity - own
+            if b == len(gaps):
+                gaps.append(capacity)
+            gaps[b] -= s
+
+
+
 def test_tokens_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
@@ -299,6 +359,31 @@ def test_mixing(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_mixing_against_a_queue(spark):
+    # a plain fair queue: all documents' finish times, sorted, taken up to the budget
+    rng = random.Random(15)
+    texts = [words(rng, rng.randint(1, 20)) for _ in range(200)]
+    sources = [rng.choice(["a", "b", "c"]) for _ in texts]
+    frame = docs(spark, texts, sources).drop("size")
+    rows = mixing.mix(frame).collect()
+    order = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id", "source", F.size(F.split("text", " ")).cast("long")).alias("h")).collect()}
+    target, size = {r.source: r.target for r in rows}, {r.source: r.source_size for r in rows}
+    queue = []
+    for s in "abc":
+        at = 0
+        for i in sorted((i for i in range(200) if sources[i] == s), key=lambda i: order[i]):
+            at += len(texts[i].split())
+            queue += [((at + p * size[s]) / target[s], order[i], i) for p in (0, 1)]
+    left, taken = 1.5 * sum(size.values()), collections.Counter()
+    for _, _, i in sorted(queue):
+        n = len(texts[i].split())
+        left -= n
+        if left < 0:
+            break
+        taken[i] += n
+    assert {r.doc_id: r.taken for r in rows} == {i: taken[i] for i in range(200)}
+
+
 # --- vector searches
 
 
@@ -377,6 +462,31 @@ def test_sharding(spark):
     assert sharding.sharded(docs(spark, ["a"]).limit(0), 8).count() == 0
 
 
+def test_differencing_against_brute_force():
+    rng = random.Random(16)
+    for _ in range(30):
+        k, sizes = rng.choice([2, 3, 5]), [rng.randint(1, 99) for _ in range(rng.randint(1, 14))]
+        parts = np.zeros((len(sizes), k), np.int64)
+        parts[:, -1] = sizes
+        bins = sharding.difference(parts)[:, -1]
+        # the plain rule on lists of (sum, members), smallest first
+        lists = [[(0, ())] * (k - 1) + [(s, (i,))] for i, s in enumerate(sizes)]
+        while len(lists) > 1:
+            lists.sort(key=lambda x: x[0][0] - x[-1][0])
+            a, b = lists[:2]
+            lists = [sorted(((x + y, m + o) for (x, m), (y, o) in zip(a, b[::-1], strict=True)), key=lambda x: x[0]), *lists[2:]]
+        got = sorted(sum(s for s, b in zip(sizes, bins, strict=True) if b == j) for j in range(k))
+        assert got[-1] - got[0] <= max(sizes) and got[-1] - got[0] <= lists[0][-1][0] - lists[0][0][0] + max(sizes) // 2
+        assert k > 2 or len(set(sizes)) < len(sizes) or got == sorted(x for x, _ in lists[0])
+
+
+def test_sharding_of_null_ids_and_repeated_rows(spark):
+    frame = spark.createDataFrame([(None, "a")] * 30 + [(5, "b")] * 30 + [(None, None), (6, "c")], "doc_id long, text string")
+    rows = sharding.sharded(frame, 3).toPandas()
+    assert len(rows) == 62 and all(sorted(s.slot) == list(range(len(s))) for _, s in rows.groupby("shard"))
+    assert rows[rows["size"] == 9].groupby("text_crc32").shard.nunique().max() == 1
+
+
 def test_differencing_in_levels(spark):
     frame = spark.range(500).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("group"), (F.col("id") * 37 % 101 + 1).alias("size"))
     found = sharding.balanced(frame, 4, per_block=20).join(frame, "group").groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()

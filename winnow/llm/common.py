@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnow.sources.scratch import new_path
+
 #: One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,29 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
-
-    Where neither is set, a folder of our own: a temporary one if driver and executors are one process, else one beside the
-    warehouse, which executors share.
-    """
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    context = spark.sparkContext
-    now = context._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    if re.fullmatch(r"local(\[.*\])?", context.master):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-"))
-    else:
-        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_winnow")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

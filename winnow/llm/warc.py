@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import blocks_for, materialise, shared_dir
+from winnow.llm.common import blocks_for, materialise
+from winnow.sources.scratch import new_path
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace for URLs of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -258,7 +259,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def archive(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = new_path(spark, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     write(pages, folder, min_payload)
     return read(spark, folder)
