@@ -6,11 +6,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.entities import explode_entities, weight
+from winnow.functions.stretches import stretches
+from winnow.sources.scratch import new_path
 
 # The factor for entities that two scored turns at most hold, and what a model sees of a text.
 EXCLUSIVE, EXCLUSIVE_TURNS = 1.2, 2
@@ -51,26 +55,58 @@ def setcover(turns: DataFrame) -> DataFrame:
     return _by_entities(turns, F.when(F.col("long_tf") <= EXCLUSIVE_TURNS, EXCLUSIVE).otherwise(1.0))
 
 
-def duplicate_share(texts: DataFrame, length: int = 64, block: int = 512) -> DataFrame:
+def _rows_of(b: pa.RecordBatch, i: int, own: list[str], **made: np.ndarray) -> pa.RecordBatch:
+    """Row i's own columns beside arrays of equal lengths."""
+    same = [pa.repeat(b.column(c)[i], len(next(iter(made.values())))) for c in own]
+    return pa.RecordBatch.from_arrays([*same, *[pa.array(x, pa.int64()) for x in made.values()]], names=[*own, *made])
+
+
+def _again(rows: DataFrame, of: str) -> DataFrame:
+    """The rows whose `of` (n: how often each row has it) its conversation has twice or more. Rows are written once; their
+    counts are added up before they move, and a common value's rows are split where the two are joined."""
+    path = new_path(rows.sparkSession, "stretches")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    often = rows.groupBy("conv_id", of).agg(F.sum("n").alias("_n")).where("_n > 1").select("conv_id", of)
+    return rows.join(often.hint("merge"), ["conv_id", of], "left_semi")
+
+
+def duplicate_share(texts: DataFrame, length: int = 64, block: int = 1 << 18) -> DataFrame:
     """texts (conv_id, turn_index, text) -> n_chars, n_duplicated: characters in a stretch of `length` characters that
     occurs twice or more in the conversation, overlaps and both places included.
 
-    Texts are cut into blocks that overlap by length - 1, so that every window lies in one; windows meet by hash.
+    Equal stretches hold the same shorter ones, so that the least hash among these is equal, too. First only these least
+    hashes meet, one for some 17 characters where length is 64; a stretch goes on only where its own is found twice, and
+    meets its equals by a 64-bit hash, which alone decides. So what moves grows with what repeats. Texts are hashed
+    `block` places at a time. (conv_id, turn_index) names a row; a null text has no count.
     """
-    n = F.length("text")
-    pieces = texts.where(n >= length).select(
-        "conv_id", "turn_index", F.explode(F.transform(F.sequence(F.lit(0), (n - length).cast("int"), F.lit(block)), lambda s: F.struct(s.alias("at"), F.substr("text", s + 1, F.lit(block + length - 1)).alias("part")))).alias("b")
-    )
-    offsets = F.sequence(F.lit(0), F.length("b.part") - length)
-    windows = pieces.select(
-        "conv_id", "turn_index", F.explode(F.transform(offsets, lambda i: F.struct((F.col("b.at") + i).alias("p"), F.xxhash64(F.substr(F.col("b.part"), i + 1, F.lit(length)), F.lit(length)).alias("h")))).alias("w")
-    ).select("conv_id", "turn_index", "w.p", "w.h")
-    again = windows.withColumn("_n", F.count("*").over(Window.partitionBy("conv_id", "h"))).where("_n > 1")
-    before = F.lag("p").over(Window.partitionBy("conv_id", "turn_index").orderBy("p"))
-    covered = again.withColumn("_d", F.least(F.lit(length), F.coalesce(F.col("p") - before, F.lit(length))))
+    own = ["conv_id", "turn_index"]
+    names = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in own)
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for _, _, low, short in stretches(text, length, block):
+                    found, many = np.unique(short, return_counts=True)
+                    kept = np.isin(found, low)
+                    yield _rows_of(b, i, own, sign=found[kept].view(np.int64), n=many[kept])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, again) in enumerate(zip(b.column("text").to_pylist(), b.column("signs").to_pylist(), strict=True)):
+                wanted = np.array(again, np.int64).view(np.uint64)
+                for at, whole, low, _ in stretches(text, length, block):
+                    p = np.flatnonzero(np.isin(low, wanted))
+                    yield _rows_of(b, i, own, h=whole[p].view(np.int64), p=p + at, n=np.ones(len(p), np.int64))
+
+    long = texts.select(*own, "text").where(F.length("text") >= length)
+    signed = _again(long.mapInArrow(signs, f"{names}, sign long, n long"), "sign").groupBy(*own).agg(F.collect_set("sign").alias("signs"))
+    windows = _again(long.join(signed, own).select(*own, "text", "signs").mapInArrow(places, f"{names}, h long, p long, n long"), "h")
+    before = F.lag("p").over(Window.partitionBy(*own).orderBy("p"))
+    covered = windows.withColumn("_d", F.least(F.lit(length), F.coalesce(F.col("p") - before, F.lit(length))))
     sums = covered.groupBy(F.col("conv_id").alias("_c"), F.col("turn_index").alias("_t")).agg(F.sum("_d").alias("_dup"))
     out = texts.join(sums, (F.col("conv_id") == F.col("_c")) & (F.col("turn_index") == F.col("_t")), "left")
-    return out.select("conv_id", "turn_index", F.length("text").cast("long").alias("n_chars"), F.coalesce("_dup", F.lit(0)).cast("long").alias("n_duplicated"))
+    return out.select(*own, F.length("text").cast("long").alias("n_chars"), F.coalesce("_dup", F.lit(0)).cast("long").alias("n_duplicated"))
 
 
 def dedup(turns: DataFrame, length: int = 64) -> DataFrame:
