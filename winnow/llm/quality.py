@@ -8,6 +8,7 @@ means adding up numbers: no matrix leaves the driver but that vector (`2 ** bits
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -126,13 +127,14 @@ def _sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> list
         for b in batches:
             made = [featurise(x, bits) for x in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_label"), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([y.tobytes() for _, y in made], pa.binary())],
+                [b.column("doc_id"), b.column("_label"), *[pa.array([zlib.compress(x.tobytes(), 1) for x in c], pa.binary()) for c in (list(zip(*made, strict=True)) or [(), ()])]],
                 names=["doc_id", "label", "buckets", "shares"],
             )
 
     rows = found.mapInArrow(run, "doc_id long, label int, buckets binary, shares binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.buckets)))
-    return [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.label) for r in rows]
+    unpacked = [(r.doc_id, r.label, zlib.decompress(r.buckets), zlib.decompress(r.shares)) for r in rows]
+    unpacked.sort(key=lambda r: r[:3])
+    return [(np.frombuffer(buckets, np.int32), np.frombuffer(shares, np.float32), label) for _, label, buckets, shares in unpacked]
 
 
 def _scores(texts: list[bytes | None], weights: np.ndarray, bias: float) -> np.ndarray:
