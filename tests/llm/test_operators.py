@@ -93,6 +93,15 @@ def test_quality_of_repeated_rows_and_long_texts(spark):
 # --- packing
 
 
+def test_one_id_of_many_rows_teaches_once(spark):
+    texts = [f"good plain words {i}" for i in range(40)]
+    frame = spark.createDataFrame([(i % 4 if i < 30 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sample = quality._sample(frame, labels, quality.Settings())
+    held = lambda i: crc32(str(i).encode()) % 3 == 1
+    assert len(sample) == len([i for i in [*range(4), *range(30, 40)] if not held(i)])
+
+
 def test_sum_of_squares_against_brute_force():
     rng = random.Random(13)
     for _ in range(40):

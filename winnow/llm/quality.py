@@ -121,6 +121,8 @@ def _sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> list
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label"))
     # at most two rows of two numbers for each of 2 * max_per_class documents: its size is bounded
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # rows that share a doc_id teach by one text, so that the sample stays bounded whatever repeats
+    found = found.groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     bits = settings.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +180,8 @@ def accepted(documents: DataFrame, labels: DataFrame, settings: Settings = Setti
 def quality(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    Labels with a null doc_id, or a quality other than 0 and 1, teach nothing; without labels every score is 0.5. A null
-    or empty text gets the score of the intercept alone. Repeated rows are scored each, ties need no rule, extra columns
+    Labels with a null doc_id, or a quality other than 0 and 1, teach nothing; without labels every score is 0.5. Where
+    rows share a labelled doc_id, the text of smallest hash teaches. A null or empty text gets the score of the intercept alone. Repeated rows are scored each, ties need no rule, extra columns
     are ignored. crc32(doc_id as text) mod 3 = 1 marks held-out rows, which are never fitted on; for a null doc_id
     held_out is false.
     """
