@@ -110,6 +110,15 @@ def test_duplicate_share_against_brute_force(spark):
         assert r.n_duplicated == len(marks)
 
 
+def test_duplicate_share_of_odd_texts(spark):
+    schema = "conv_id string, turn_index int, text string, p int, n int"
+    same = "\U0001f600" * 3 + "abcdefgh"
+    rows = [("a", 0, None, 1, 1), ("a", 1, "", 1, 1), ("a", 2, "x" + same, 1, 1), ("a", 3, same + "y", 1, 1), ("b", 0, same, 1, 1), ("b", 1, "z" * 30, 1, 1), (None, 0, same, 1, 1)]
+    got = {(r.conv_id, r.turn_index): (r.n_chars, r.n_duplicated) for r in S.duplicate_share(spark.createDataFrame(rows, schema), length=6, block=5).collect()}
+    assert got == {("a", 0): (None, 0), ("a", 1): (0, 0), ("a", 2): (12, 11), ("a", 3): (12, 11), ("b", 0): (11, 0), ("b", 1): (30, 30), (None, 0): (11, 0)}
+    assert S.duplicate_share(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_models_are_pluggable(spark):
     turns = spark.createDataFrame([("c", 0, "user", "q", 1, "user"), ("c", 1, "system", "aa", 9, "long"), ("c", 2, "system", "b", 9, "long")], "conv_id string, turn_index long, kind string, text string, tokens long, tier string")
     queries = spark.createDataFrame([("c", "q")], "conv_id string, query string")
